@@ -7,12 +7,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, mixing, packing, quality_rules
 from .common import input_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(input_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+#: The mix takes the first words of each source's repeated stream, as many as its slots hold.
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, 'null')) AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, (place - 1) % 3 + 1 AS w, sum(source_size) OVER ()::BIGINT AS total FROM s
+), f AS (
+  SELECT *, 3 * source_size / w AS r,
+         (total - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+           / sum(w) OVER (ORDER BY 3 * source_size / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w
+), t AS (
+  SELECT source, place, source_size, total,
+         least((3 * source_size)::DOUBLE, w * (SELECT level FROM f WHERE level <= r ORDER BY r, place LIMIT 1)) AS target
+  FROM f
+), c AS (
+  SELECT *, sum(target) OVER (ORDER BY place) AS upto, sum(target) OVER () AS whole FROM t
+), b AS (
+  SELECT max(greatest(1, least(4096, total // 262144))) AS step, max(total) AS total FROM t
+), p AS (
+  SELECT i::DOUBLE * 0.6180339887498949::DOUBLE - floor(i::DOUBLE * 0.6180339887498949::DOUBLE) AS u
+  FROM (SELECT unnest(range((SELECT (total + step - 1) // step FROM b))) AS i)
+), n AS (
+  SELECT place, count(u) * any_value(step) AS words
+  FROM (SELECT place, coalesce(lag(upto) OVER (ORDER BY place), 0) / whole AS lo,
+               CASE WHEN upto >= whole THEN 2.0::DOUBLE ELSE upto / whole END AS hi, target FROM c) x
+  LEFT JOIN p ON u >= lo AND u < hi AND target > 0, b
+  GROUP BY place
+), o AS (
+  SELECT d.*, t.place, t.source_size, t.target,
+         coalesce(sum(size) OVER (PARTITION BY t.place ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, source, size, source_size, target,
+       (SELECT sum(greatest(0, least(size, words - begins - e * source_size))) FROM (SELECT unnest([0, 1, 2]) AS e))::BIGINT AS taken
+FROM o JOIN n USING (place)
+"""
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(input_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.annotate(input_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -83,5 +136,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host
 """
 
-QUERIES: dict[str, Query] = {"op6_exact_dedup": op6_exact_dedup, "op10_quality_rules": op10_quality_rules}
-SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
+QUERIES: dict[str, Query] = {
+    "op2_mixing": op2_mixing,
+    "op3_packing": op3_packing,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op10_quality_rules": op10_quality_rules,
+}
+SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
