@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality_rules
+from . import exact_dedup, mixing, packing, quality_rules, toxicity
 from .common import input_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,11 @@ FROM d
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = input_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, input_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(input_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
@@ -140,6 +145,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
