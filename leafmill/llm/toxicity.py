@@ -244,7 +244,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC,
     may = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & may).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = cut(own, "labels")
-    counts = own.agg(F.count_if("toxic = 1"), F.count_if("toxic = 0")).first()
+    counts = own.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     odds = counts[0] / counts[1] if counts[1] else 0.0
     by = F.xxhash64("doc_id")
     picked = own.where("toxic = 1").orderBy(by, "doc_id").limit(toxic).unionByName(own.where("toxic = 0").orderBy(by, "doc_id").limit(clean))
