@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality_rules, toxicity
-from .common import input_table
+from . import exact_dedup, mixing, packing, quality_rules, toxicity, warc
+from .common import input_table, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,25 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(input_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(input_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.digests(warc.captures(spark, path))
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), m AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY t) END AS stored FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(t) AS payload_digest,
+       CASE WHEN stored IS NOT NULL AND page_id IS DISTINCT FROM stored THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM stored THEN stored END AS refers_to
+FROM m
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.annotate(input_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -144,8 +163,9 @@ FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host
 QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
+SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
