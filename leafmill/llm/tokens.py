@@ -1,91 +1,150 @@
 """Token ids of whole texts through a public tokenizer file, word by word with a bounded cache.
 
 The word-end BPE drops white space and never lets a token reach across it, so a text's ids are the
-ids of its space-separated parts in order. Parts repeat far more often than texts; each worker
-keeps the ids of the parts that it has seen, as little-endian bytes, and only encodes new ones.
+ids of its space-separated parts in order. Parts repeat far more often than texts: each worker
+numbers the parts that it has seen, keeps their ids in one array and only encodes new ones; a text
+then is one lookup a part and one gather.
 """
 
 from __future__ import annotations
 
 import os
 import string
-from collections.abc import Iterable
+from itertools import chain
 
-#: Parts that a worker keeps, about 150 bytes each; beyond it the cache starts anew.
+import numpy as np
+
+#: Parts that a worker keeps, about 200 bytes each; beyond it the cache starts anew.
 CACHE_PARTS = 1_000_000
+#: Characters that are split at a time.
+SLICE_CHARS = 1 << 20
 _TAIL = string.punctuation.replace("'", "")
 _END = "</w>"
 
 
+class _Index(dict):
+    """Numbers its keys in order of first lookup and lists those it hadn't."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+
 class WordTokenizer:
     def __init__(self, path: str, cache_parts: int = CACHE_PARTS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import numpy as np
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._limit = cache_parts
-        self._cache: dict[str, bytes] = {"": b""}
         vocab = self._tok.get_vocab()
         self._ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self._ends[i] = token.endswith(_END)
-
-    def _encode(self, parts: list[str]) -> None:
-        import numpy as np
-
-        for part, e in zip(parts, self._tok.encode_batch(parts, add_special_tokens=False)):
-            self._cache[part] = np.array(e.ids, "<u4").tobytes()
-
-    def _encode_letters(self, parts: list[str], step: int = 1000) -> None:
+        self._reset()
+
+    def _reset(self) -> None:
+        self._index = _Index()
+        self._start, self._size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._ids, self._used = np.zeros(4096, "<u4"), 0
+
+    def _put(self, numbers: list[int] | np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Append the ids of many parts, which end at ``ends``."""
+        n = len(ids)
+        if self._used + n > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros(len(self._ids) + n, "<u4")])
+        if len(self._index) > len(self._start):
+            more = np.zeros(len(self._index), np.int64)
+            self._start, self._size = np.concatenate([self._start, more]), np.concatenate([self._size, more])
+        self._ids[self._used : self._used + n] = ids
+        size = np.diff(ends, prepend=0)
+        self._size[numbers] = size
+        self._start[numbers] = self._used + ends - size
+        self._used += n
+
+    def _encode(self, numbers: list[int], parts: list[str]) -> None:
+        if parts:
+            ids = [e.ids for e in self._tok.encode_batch(parts, add_special_tokens=False)]
+            self._put(numbers, np.fromiter(chain.from_iterable(ids), "<u4"), np.cumsum([len(x) for x in ids]))
+
+    def _encode_letters(self, numbers: list[int], parts: list[str], step: int = 1000) -> None:
         """Parts of letters only are encoded a thousand at a time. Each is one word to the
         tokenizer, ending in one word-end id; where the count of those differs (letters that
         normalisation takes apart), the parts are encoded one by one."""
-        import numpy as np
-
-        groups = [parts[i : i + step] for i in range(0, len(parts), step)]
-        joined = self._tok.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, joined):
+        at = range(0, len(parts), step)
+        joined = self._tok.encode_batch([" ".join(parts[i : i + step]) for i in at], add_special_tokens=False)
+        for i, e in zip(at, joined):
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) != len(group):
-                self._encode(group)
-                continue
-            data, at = ids.tobytes(), 0
-            for part, end in zip(group, (ends * 4).tolist()):
-                self._cache[part] = data[at:end]
-                at = end
-
-    def _learn(self, new: Iterable[str]) -> None:
-        cache, letters, odd, split = self._cache, set(), set(), []
-        for part in new:
+            if len(ends) == len(parts[i : i + step]):
+                self._put(numbers[i : i + step], ids, ends)
+            else:
+                self._encode(numbers[i : i + step], parts[i : i + step])
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts one after another, and where each part's end."""
+        size = self._size[numbers]
+        ends = np.cumsum(size)
+        return self._ids[np.repeat(self._start[numbers] - (ends - size), size) + np.arange(int(ends[-1]))], ends
+
+    def _learn(self) -> None:
+        """Ids for all new parts: letters with punctuation behind them, or in upper case, are put
+        together from simpler parts; the rest is encoded."""
+        index, new = self._index, self._index.new
+        number = len(index) - len(new)
+        letters, odd, made, pieces = ([], []), ([], []), [], []
+        for part in new:  # grows meanwhile
             core = part.rstrip(_TAIL)
             if core.isalpha():
-                if core not in cache:
-                    letters.add(core)
-                if len(core) < len(part):
-                    tail = part[len(core) :]
-                    split.append((part, core, tail))
-                    if tail not in cache:
-                        odd.add(tail)
+                low = core.lower()
+                # below U+0250 lower case is the same letter by letter, but for the dotted I
+                if low != core and (max(core) >= "ɐ" or "İ" in core):
+                    low = core
+                if low == part:
+                    letters[0].append(number)
+                    letters[1].append(part)
+                else:
+                    made.append(number)
+                    pieces += (index[low], index[part[len(core) :]])
             else:
-                odd.add(part)
-        self._encode_letters(list(letters))
-        self._encode(list(odd))
-        for part, core, tail in split:
-            cache[part] = cache[core] + cache[tail]
+                odd[0].append(number)
+                odd[1].append(part)
+            number += 1
+        index.new = []
+        self._encode_letters(*letters)
+        self._encode(*odd)
+        if made:
+            ids, ends = self._gather(np.array(pieces))
+            self._put(made, ids, ends[1::2])
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        if len(self._index) > self._limit:
+            self._reset()
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        counts = np.array([len(p) for p in parts], np.int64)
+        flat = np.fromiter(map(self._index.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        if self._index.new:
+            self._learn()
+        ids, upto = self._gather(flat)
+        data = ids.tobytes()
+        ends = (4 * upto[np.cumsum(counts) - 1]).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned 32-bit little-endian bytes."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*parts).difference(self._cache)
-        if len(self._cache) + len(new) > self._limit:
-            self._cache = {"": b""}
-            new = set().union(*parts).difference(self._cache)
-        if new:
-            self._learn(new)
-        get = self._cache.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        out: list[bytes] = []
+        held, chars = [], 0
+        for t in texts:
+            held.append(t)
+            chars += len(t)
+            if chars >= SLICE_CHARS:
+                out += self._slice(held)
+                held, chars = [], 0
+        return out + self._slice(held) if held else out
 
 
 _loaded: dict[str, WordTokenizer] = {}
