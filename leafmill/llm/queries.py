@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality_rules, toxicity, warc
+from . import exact_dedup, minhash, mixing, packing, quality_rules, toxicity, warc
 from .common import input_table, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = input_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.classes(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(input_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -161,6 +166,7 @@ FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
