@@ -108,3 +108,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     taken = taken.groupBy("place", "before").agg(*[F.first(c).alias(c) for c in out], F.coalesce(F.sum(F.col("held") * F.col("__hit")), F.lit(0)).cast("long").alias("taken"))
     none = known.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken"))
     return taken.select(*out, "taken").unionByName(none)
+
+
+def apply_mix(docs: DataFrame, **settings) -> DataFrame:
+    """docs as the mix takes them: a document stands as often as the words taken from it, to the
+    nearest whole number of copies; one without words stands once."""
+    taken = mix(docs, **settings).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("size")))
+    taken = cut(taken.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), copies.cast("int").alias("__copies")).where("__copies > 0"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (word_count(text_or_empty()) == F.col("__n"))
+    joined = docs.join(small_side(taken, 64), same)
+    return joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
