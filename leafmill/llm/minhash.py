@@ -37,10 +37,12 @@ from .components import components
 WORDS, SIMILARITY = 5, 0.8
 #: Registers of 16 bits. The first 80 make 20 bands of 4: a pair with similarity 0.8 misses all
 #: bands with a probability of 0.00003.
-REGISTERS, BANDS, ROWS = 256, 20, 4
-#: Pairs that agree in less of the registers are not compared exactly. At similarity 0.8, 256
-#: registers agree in 0.7 or less with a probability of 0.00006.
-LEAST_AGREEMENT = 0.7
+REGISTERS, BANDS, ROWS = 384, 20, 4
+#: Pairs that agree in less of the registers are not compared exactly. At similarity 0.8, 384
+#: registers agree in 0.65 or less with a probability below 1e-11, in 0.73 or less with 0.0004.
+#: The first holds for the pairs of a bucket's ends, which are few; the second for tiles, where
+#: a large group of documents with similarities of 0.6 to 0.7 would else fill the comparison.
+LEAST_AGREEMENT, TILE_AGREEMENT = 0.65, 0.73
 #: Nodes on a side of a tile, about.
 TILE = 1024
 _U = np.uint64
@@ -214,6 +216,11 @@ def _pairs_of(ids: DataFrame, table: DataFrame, prefix: str, columns: dict[str,
     return ids.join(side, prefix)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b), each once; repeats go before the shuffle."""
+    return pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+
+
 class NearDuplicates:
     """One run over documents (doc_id, text)."""
 
@@ -244,7 +251,7 @@ class NearDuplicates:
     def likely(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) whose registers agree enough."""
         pairs = cut(pairs, "pairs")
-        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
+        ids = cut(_ends(pairs), "pair-nodes")
         held = cut(nodes.join(small_side(ids, 16), "node", "left_semi"), "pair-registers")
         both = _pairs_of(_pairs_of(pairs, held, "a", {"registers": "ra"}), held, "b", {"registers": "rb"})
         return both.select("a", "b", "ra", "rb").mapInArrow(_agree(self.k, LEAST_AGREEMENT), "a long, b long")
@@ -252,7 +259,7 @@ class NearDuplicates:
     def verified(self, likely: DataFrame) -> DataFrame:
         """The pairs (a, b) whose shingles are similar enough."""
         likely = cut(likely, "likely-pairs")
-        ids = cut(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "likely-nodes")
+        ids = cut(_ends(likely), "likely-nodes")
         own = self.docs.join(small_side(ids.withColumnRenamed("node", "doc_id"), 16), "doc_id", "left_semi")
         contents = cut(own.mapInArrow(_contents(self.words), "node long, h binary, n binary"), "contents")
         if contents.count() > ids.count():  # rows that share a doc_id
@@ -293,7 +300,7 @@ class NearDuplicates:
         held = cut(nodes.join(small_side(ids, 16), "node", "left_semi"), "mixed-registers")
         rows = few.unionByName(all_).join(held, "node").select("key", "i", "j", "side", "band", "part", "node", "registers")
         rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return rows.mapInArrow(_tiles(self.k, self.bands, self.rows, LEAST_AGREEMENT), "a long, b long").distinct()
+        return rows.mapInArrow(_tiles(self.k, self.bands, self.rows, TILE_AGREEMENT), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, **settings) -> DataFrame:
