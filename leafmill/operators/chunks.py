@@ -30,7 +30,7 @@ def sections_of(body: Column) -> Column:
         item = F.struct(piece.alias("text"), acc["line"].alias("start"))
         return F.struct((acc["line"] + T.newline_count(piece)).cast("int").alias("line"), F.array_append(acc["out"], item).alias("out"))
 
-    placed = F.slice(F.aggregate(pieces, first, step, lambda acc: acc["out"]), 2, 2147483647)
+    placed = F.filter(F.aggregate(pieces, first, step, lambda acc: acc["out"]), lambda p, i: i > 0)
 
     def row(p: Column, i: Column) -> Column:
         raw = p["text"]
