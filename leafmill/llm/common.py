@@ -39,15 +39,43 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/leafmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Arrow batches between the JVM and Python while a table is cut: rows may hold whole texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, so a lost
     executor costs a reread and no recomputation, and the columns keep their compressed form."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give freed memory back to the system at the end of a Python stage: the worker stays for
+    other stages, and its executor's memory is shared with the JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small_side(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if its counted rows fit BROADCAST_BYTES, else df, and the join
     shuffles (with skewed partitions split by AQE). df should be a written table."""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import cut, small_side
+from .common import cut, small_side, trim
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -89,6 +89,7 @@ def _sketch(n: int, k: int):
                     ids.slice(row, count), pa.array(sizes, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
                     pa.array([packed[i].tobytes() for i in range(count)], pa.binary()),
                 ], names=["doc_id", "shingles", "c1", "c2", "registers"])
+        trim()
 
     return run
 
@@ -108,6 +109,7 @@ def _contents(n: int):
                     pa.array([x.tobytes() for x in np.split(h, cuts)], pa.binary()),
                     pa.array([x.tobytes() for x in np.split(counts.astype("<u4"), cuts)], pa.binary()),
                 ], names=["node", "h", "n"])
+        trim()
 
     return run
 
@@ -171,6 +173,7 @@ def _tiles(k: int, bands: int, rows: int, least: float):
                 held = held.slice(whole)
         if held is not None and held.num_rows:
             yield from pairs(held.combine_chunks())
+        trim()
 
     return run
 
@@ -207,6 +210,7 @@ def _verify(least: float):
                 x = similarity(*(np.frombuffer(v.as_py(), t) for v, t in ((ha, "<u8"), (na, "<u4"), (hb, "<u8"), (nb, "<u4"))))
                 keep.append(max(x) >= least - 1e-12)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return run
 

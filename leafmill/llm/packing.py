@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import cut, small_side, trim
 from .tokens import word_tokenizer
 
 CAPACITY = 2048
@@ -98,6 +98,7 @@ def _pack_partition(tokenizer: str, capacity: int, slack: int, keep_ids: bool):
             columns.append(pa.array(ids, pa.binary()))
             names.append("ids")
         yield from pa.Table.from_arrays(columns, names=names).to_batches(max_chunksize=10_000)
+        trim()
 
     return run
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, trim
 from .levenshtein import Lexicon
 
 #: Labelled rows that fitting takes at most, those with the smallest hashes of doc_id.
@@ -43,7 +43,7 @@ STEMS = range(3, 9)
 #: Words on either side of a hit that its context is read from.
 WINDOW = 6
 #: Words known to match nothing that a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 _TOKEN = re.compile(r"\w(?:[\w@$!*]*\w)?")
 _LEET = str.maketrans("013457@$!", "oieastasi")
@@ -276,6 +276,7 @@ def score_column(model: Model, text: str | Column = "text") -> Column:
         own = model_from_json(packed)
         for s in batches:
             yield pd.Series([own.score(t) for t in s], dtype="float64")
+        trim()
 
     return scores(text)
 
