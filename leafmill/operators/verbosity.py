@@ -174,9 +174,9 @@ COUNTS = (
 )
 
 
-def rounded(measured: DataFrame) -> DataFrame:
-    """The metrics as they are reported; rules work on the exact ones."""
-    return measured.select("path", *COUNTS, *[F.round(c, 3).alias(c) for c in THREE_PLACES], *[F.round(c, 6).alias(c) for c in SIX_PLACES])
+def rounded(measured: DataFrame, *more: str) -> DataFrame:
+    """The metrics as they are reported, and more columns as they are; rules work on the exact ones."""
+    return measured.select("path", *more, *COUNTS, *[F.round(c, 3).alias(c) for c in THREE_PLACES], *[F.round(c, 6).alias(c) for c in SIX_PLACES])
 
 
 def _reason(code: str, cond: Column, value: Column, threshold: Column | float | str, message: str, spot: Column | None = None) -> Column:
@@ -220,7 +220,8 @@ def page_reasons(p: Profile) -> Column:
 def section_results(measured: DataFrame, p: Profile = Profile(), include_code: bool = False) -> DataFrame:
     """Of measured pages the sections with a reason, a row each; rank puts the heaviest of a page
     first, in document order among equals."""
-    rows = measured.select("path", F.explode("sections").alias("s")).select("path", "s.*")
+    # outer: the optimiser then infers no filter that would repeat the whole section expression
+    rows = measured.select("path", F.explode_outer("sections").alias("s")).select("path", "s.*").where(F.col("heading").isNotNull())
     rows = rows.withColumn("__text", F.col("text") if include_code else T.strip_code(F.col("text")))
     rows = rows.withColumn("tokens", T.tokens(T.strip_noise(F.col("__text")))).withColumn("__s", T.sentences(F.col("__text")))
     rows = rows.withColumn("__sl", F.filter(F.transform("__s", lambda x: F.size(T.tokens(x))), lambda n: n > 0)).withColumn("__c", T.without_stopwords(F.col("tokens"), digits=False))
@@ -298,7 +299,7 @@ def percentiles(judged: DataFrame) -> DataFrame:
     The values of all metrics are counted in one pass, so that only distinct ones are put in order;
     a page then looks its values up. Counts of lines and words are few, whatever the corpus.
     """
-    values = judged.select(F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in PERCENTILES])).alias("x")).select("x.m", "x.v")
+    values = judged.select(F.explode_outer(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in PERCENTILES])).alias("x")).select("x.m", "x.v")
     order = Window.partitionBy("m").orderBy("v")
     whole = F.sum("c").over(Window.partitionBy("m"))
     shares = values.groupBy("m", "v").agg(F.count(F.lit(1)).alias("c")).select("m", "v", F.round(F.sum("c").over(order) / whole, 6).alias("share"))
