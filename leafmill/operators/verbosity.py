@@ -111,6 +111,13 @@ def top_phrases(rows: DataFrame, key: str, n: int = 5, top: int = 5) -> DataFram
     return best.where((F.col("count") > 1) & telling).select(key, "rank", "phrase", "count")
 
 
+def computed(rows: DataFrame) -> DataFrame:
+    """rows, with no filter pushed below this point: pushed down, a condition would be written out
+    in terms of the first columns, and every metric in it would be computed again and again."""
+    packed = F.explode_outer(F.array(F.struct(*[F.col(c) for c in rows.columns]))).alias("r")
+    return rows.select(packed).select("r.*")
+
+
 def metrics(pages: DataFrame, profile: Profile = Profile(), include_code: bool = False, with_gzip: bool = True) -> DataFrame:
     """pages (path, text, body, frontmatter_lines) with all metrics, and the sections.
 
@@ -238,7 +245,8 @@ def section_results(measured: DataFrame, p: Profile = Profile(), include_code: b
         _reason("low_unique_content_ratio", (F.size("tokens") >= 150) & (m("unique") < p.unique_content), m("unique"), p.unique_content, "Few different content words.", spot),
         _reason("long_page_low_links", (n >= p.section_warn) & (m("links") == 0), m("links"), 1, "A long section without links.", spot),
     )
-    rows = rows.withColumn("reasons", reasons).where(F.size("reasons") > 0)
+    rows = rows.select("path", "heading", "level", "start_line", "end_line", "line_count", reasons.alias("reasons"))
+    rows = computed(rows).where(F.size("reasons") > 0)
     rows = rows.withColumn("score", F.round(F.least(F.lit(1.0), weight_of(F.col("reasons"))), 6))
     order = Window.partitionBy("path").orderBy(F.desc("score"), "start_line")
     return rows.select("path", (F.row_number().over(order) - 1).alias("rank"), "heading", "level", "start_line", "end_line", "line_count", "score", "reasons")
@@ -287,7 +295,7 @@ def judge(measured: DataFrame, profile: Profile = Profile(), extra_reasons: str
     hard = F.exists("reasons", lambda r: r["code"].isin("line_count_high", "section_too_long"))
     severity = F.when((F.col("score") >= 0.65) | hard, "high").when((F.col("score") >= 0.35) | (F.size("reasons") > 0), "warning").otherwise("ok")
     rows = rows.withColumn("severity", severity).withColumn("is_verbose", F.col("severity") != "ok")
-    return rows.withColumn("suggestions", _suggestions()).withColumn("profile", F.lit(profile.name)).drop("compared")
+    return computed(rows.withColumn("suggestions", _suggestions()).withColumn("profile", F.lit(profile.name)).drop("compared"))
 
 
 PERCENTILES = ("line_count", "max_section_lines", "word_count")
