@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, quality_rules, toxicity, warc
+from . import chat_format, exact_dedup, lm_scoring, minhash, mixing, packing, quality_classifier, quality_rules, toxicity, warc
 from .common import input_table, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,11 @@ FROM m
 """
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what the labels call good; the background is all documents."""
+    return lm_scoring.score(lm_scoring.with_target(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "labels")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.annotate(input_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -105,6 +110,36 @@ FROM d
 """
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_format.rotate(input_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return out.select("conv_id", "participant", "piece", "start", "n_turns", "text", F.size("spans").cast("long").alias("n_spans"), "masked_chars")
+
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
+         regexp_replace(coalesce(text, ''), '<\|(im_start\|>|im_end\|>)', '< |\1', 'g') AS text
+  FROM conversations
+), p AS (
+  SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'
+), r AS (
+  SELECT t.*, participant, CASE WHEN role = participant THEN 'assistant' WHEN role = 'system' THEN 'system'
+           ELSE 'user name=' || regexp_replace(role, '[^\p{L}\p{N}_-]', '_', 'g') END AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+)
+SELECT conv_id, participant, 0::BIGINT AS piece, 0::BIGINT AS start, count(*) AS n_turns,
+       string_agg('<|im_start|>' || head || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text,
+       count_if(role = participant)::BIGINT AS n_spans,
+       coalesce(sum(length(text) + 10) FILTER (WHERE role = participant), 0)::BIGINT AS masked_chars
+FROM r GROUP BY conv_id, participant
+"""
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = input_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality_classifier.score(docs, input_table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = input_table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, input_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -170,8 +205,11 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_chat_format": op7_chat_format,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
+SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op4_warc": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_quality_rules": OP10_SQL}
