@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What Python workers keep between tasks, by operator: how to drop it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, drop: Callable[[], None]) -> None:
+    """Called in a worker when an operator begins to keep something for its later tasks. What other
+    operators have kept there is dropped: the worker outlives their stages."""
+    for other in [x for x in _kept if x != name]:
+        _kept.pop(other)()
+    if name not in _kept:
+        _kept[name] = drop
+        trim()
+
+
 def trim() -> None:
     """Give freed memory back to the system at the end of a Python stage: the worker stays for
     other stages, and its executor's memory is shared with the JVM."""

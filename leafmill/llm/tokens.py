@@ -14,8 +14,10 @@ from itertools import chain
 
 import numpy as np
 
+from .common import keeps
+
 #: Parts that a worker keeps, about 200 bytes each; beyond it the cache starts anew.
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 400_000
 #: Characters that are split at a time.
 SLICE_CHARS = 1 << 20
 _TAIL = string.punctuation.replace("'", "")
@@ -153,6 +155,7 @@ _loaded: dict[str, WordTokenizer] = {}
 def word_tokenizer(name_or_path: str) -> WordTokenizer:
     """One tokenizer for each Python worker and file. A bare name is looked up among the public
     tokenizers that the worker has installed."""
+    keeps("tokens", _loaded.clear)
     if name_or_path not in _loaded:
         path = name_or_path
         if os.sep not in path:

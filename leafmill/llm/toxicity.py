@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, trim
+from .common import cut, keeps, trim
 from .levenshtein import Lexicon
 
 #: Labelled rows that fitting takes at most, those with the smallest hashes of doc_id.
@@ -133,6 +133,7 @@ _models: dict[str, Model] = {}
 
 def model_from_json(text: str) -> Model:
     """One model for each worker, so that what it knows of words outlives a task."""
+    keeps("toxicity", _models.clear)
     if text not in _models:
         _models.clear()
         _models[text] = Model(*json.loads(text))
