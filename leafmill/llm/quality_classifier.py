@@ -224,8 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Features are made where the sampled rows are; one task fits the models on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if batches else None
-        held = [b for b in (t.to_batches() if t is not None else []) if b.num_rows]
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
         t = pa.Table.from_batches(held)
