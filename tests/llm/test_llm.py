@@ -178,6 +178,21 @@ def test_lm_scoring_by_definition(spark):
     assert got[4].score is None and got[4].n_words == 0
 
 
+def test_lm_scoring_keeps_every_word_and_pair(spark, monkeypatch):
+    """More distinct words than any fixed table of 2^18 cells holds; each stands once."""
+    monkeypatch.setattr(lm_scoring, "BUCKET_TEXT", 1 << 19)
+    n, each = 300, 1000
+    texts = spark.range(n, numPartitions=3).selectExpr("id AS doc_id", f"array_join(transform(sequence(0, {each - 1}), i -> concat('w', id * {each} + i)), ' ') AS text", "id = 0 AS target")
+    even, size = lm_scoring.EVEN, n * each
+    scale = each / size
+    target = -np.log(even / (each + even * size))
+    background = -np.log(even / ((size - each) * scale + even * size))
+    for r in lm_scoring.score(texts).where("doc_id != 0").collect():
+        start_t, start_b = np.log(1 + 1 / lm_scoring.BACK_OFF) / each, np.log(1 + (n - 1) * scale / lm_scoring.BACK_OFF) / each
+        assert r.target_loss == pytest.approx(target + start_t, rel=1e-9)
+        assert r.background_loss == pytest.approx(background + start_b, rel=1e-9)
+
+
 def test_lm_scoring_odd(odd, none, labels):
     rows = lm_scoring.with_target(odd, labels)
     assert lm_scoring.score(rows).count() == len(ODD)
