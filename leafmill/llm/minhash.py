@@ -4,14 +4,16 @@ A document's words shingles weigh 1 + ln(count). Each shingle is a Poisson proce
 at a rate of its weight, fall on registers at random; a register keeps the shingle that arrives
 first. Two documents agree in a register with the probability Jaccard similarity of their weights.
 Arrivals are drawn in rounds for whole batches of documents, and a shingle drops out as soon as
-its last arrival is later than the first arrivals of all of the document's registers.
+its last arrival is later than the first arrivals of all of the document's registers. Documents with
+a repeated shingle have a second sketch with all weights 1, whose registers agree in the Jaccard
+similarity of the sets; for all others the two are the same.
 
 Documents with equal shingle counts are one node from the start, so that copies make no pairs.
-Nodes that agree in all registers of a band meet in its bucket. There each is compared with the
+Nodes that agree in all registers of a band, of either sketch, meet in its bucket. There each is compared with the
 bucket's least and greatest node, which links most copies. Buckets whose nodes are still in
 several components are gone through in tiles of bounded size: every node outside the bucket's
 largest component is compared with every node of another component by their registers, and only
-pairs that look similar leave the tile. A link needs a similarity of 0.8 or more, computed from the
+pairs that look similar by either sketch leave the tile. A link needs a similarity of 0.8 or more, computed from the
 two documents' shingles themselves: of the sets (Jaccard) or of the weights (probability Jaccard),
 whichever is greater.
 
@@ -38,7 +40,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Registers of 16 bits. The first 80 make 20 bands of 4: a pair with similarity 0.8 misses all
 #: bands with a probability of 0.00003.
 REGISTERS, BANDS, ROWS = 384, 20, 4
-#: Pairs that agree in less of the registers are not compared exactly. At similarity 0.8, 384
+#: Pairs that in both sketches agree in less of the registers are not compared exactly. At similarity 0.8, 384
 #: registers agree in 0.65 or less with a probability below 1e-11, in 0.73 or less with 0.0004.
 #: The first holds for the pairs of a bucket's ends, which are few; the second for tiles, where
 #: a large group of documents with similarities of 0.6 to 0.7 would else fill the comparison.
@@ -82,13 +84,19 @@ def _sketch(n: int, k: int):
                 sizes = np.bincount(rows, minlength=count)
                 reg = registers(h, rows, 1.0 + np.log(counts), count, k)
                 packed = (reg >> _U(48)).astype("<u2")
+                again = np.zeros(count, bool)
+                again[rows[counts > 1]] = True
+                own = again[rows]
+                even = registers(h[own], (np.cumsum(again) - 1)[rows[own]], np.ones(int(own.sum())), int(again.sum()), k)
+                even = iter((even >> _U(48)).astype("<u2"))
+                plain = [next(even).tobytes() if x else None for x in again]
                 one, two = np.zeros(count, _U), np.zeros(count, _U)
                 np.add.at(one, rows, sh.mix(h + counts.astype(_U) * _STEP))
                 np.add.at(two, rows, sh.mix(h * _U(0xC2B2AE3D27D4EB4F) + counts.astype(_U)))
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(row, count), pa.array(sizes, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                    pa.array([packed[i].tobytes() for i in range(count)], pa.binary()),
-                ], names=["doc_id", "shingles", "c1", "c2", "registers"])
+                    pa.array([packed[i].tobytes() for i in range(count)], pa.binary()), pa.array(plain, pa.binary()),
+                ], names=["doc_id", "shingles", "c1", "c2", "registers", "plain"])
         trim()
 
     return run
@@ -118,32 +126,33 @@ def _agree(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, k) for c in ("ra", "rb"))
-                keep = pa.array((x == y).mean(axis=1) > least)
+                x, y, u, v = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, k) for c in ("ra", "rb", "pa", "pb"))
+                keep = pa.array(np.maximum((x == y).mean(axis=1), (u == v).mean(axis=1)) > least)
                 yield b.select(["a", "b"]).filter(keep)
 
     return run
 
 
 def _tiles(k: int, bands: int, rows: int, least: float):
-    """Rows (key, i, j, side, band, part, node, registers) in order of (key, i, j): compares the
+    """Rows (key, i, j, side, band, part, node, registers, plain) in order of (key, i, j): compares the
     nodes of side 0 with those of side 1 that are in another part, unless the two have met in an
-    earlier band, and keeps the pairs that agree in enough registers."""
+    earlier band, and keeps the pairs that agree in enough registers of either sketch."""
 
-    def compare(band: int, side: np.ndarray, part: np.ndarray, node: np.ndarray, reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(band: int, side: np.ndarray, part: np.ndarray, node: np.ndarray, sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = [], []
-        keys = np.ascontiguousarray(reg[:, : bands * rows]).reshape(len(reg), bands, rows)
+        keys = [np.ascontiguousarray(reg[:, : bands * rows]).reshape(len(reg), bands, rows) for reg in sketches]
         step = max(1, (1 << 22) // max(1, len(y) * 8))
         for at in range(0, len(x), step):
             own = x[at : at + step]
             fresh = part[own][:, None] != part[y][None, :]
             for t in range(band):
-                fresh &= (keys[own, t][:, None] != keys[y, t][None, :]).any(axis=2)
+                for key in keys:
+                    fresh &= (key[own, t][:, None] != key[y, t][None, :]).any(axis=2)
             i, j = np.nonzero(fresh)
             for f in range(0, len(i), 1 << 14):
                 p, q = own[i[f : f + (1 << 14)]], y[j[f : f + (1 << 14)]]
-                like = (reg[p] == reg[q]).mean(axis=1) > least
+                like = np.max([(reg[p] == reg[q]).mean(axis=1) for reg in sketches], axis=0) > least
                 a.append(node[p[like]])
                 b.append(node[q[like]])
         none = np.empty(0, np.int64)
@@ -154,10 +163,13 @@ def _tiles(k: int, bands: int, rows: int, least: float):
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key, i, j, side, band, part, node = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "band", "part", "node"))
-            reg = np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(-1, k)
+            reg = t.column("registers").to_pylist()
+            even = [x or y for x, y in zip(t.column("plain").to_pylist(), reg)]
+            reg, even = (np.frombuffer(b"".join(x), "<u2").reshape(-1, k) for x in (reg, even))
+            other = (reg != even).any(axis=1)
             new = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
             cuts = np.flatnonzero(new) + 1
-            found = [compare(int(band[a]), side[a:b], part[a:b], node[a:b], reg[a:b]) for a, b in zip([0, *cuts], [*cuts, len(key)])]
+            found = [compare(int(band[a]), side[a:b], part[a:b], node[a:b], [reg[a:b], even[a:b]] if other[a:b].any() else [reg[a:b]]) for a, b in zip([0, *cuts], [*cuts, len(key)])]
             a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -234,22 +246,26 @@ class NearDuplicates:
         self.k = max(REGISTERS, bands * rows)
 
     def sketches(self) -> tuple[DataFrame, DataFrame]:
-        """(doc_id, node) of all rows with an id, and (node, registers) of the nodes with shingles.
+        """(doc_id, node) of all rows with an id, and (node, registers, plain) of the nodes with shingles;
+        plain is null where it is the same.
         A node is the least doc_id of the documents with the same shingle counts."""
-        schema = "doc_id long, shingles long, c1 long, c2 long, registers binary"
+        schema = "doc_id long, shingles long, c1 long, c2 long, registers binary, plain binary"
         every = cut(self.docs.where("doc_id IS NOT NULL").mapInArrow(_sketch(self.words, self.k), schema), "sketches")
         some = every.where("shingles > 0")
-        nodes = some.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("registers").alias("registers"))
+        nodes = some.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("registers").alias("registers"), F.first("plain").alias("plain"))
         nodes = cut(nodes, "nodes")
         many = nodes.where("copies > 1").select("c1", "c2", "node")
         member = every.select("doc_id", "shingles", "c1", "c2").join(many, ["c1", "c2"], "left")
         member = member.select("doc_id", F.when(F.col("shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
-        return member, nodes.select("node", "registers")
+        return member, nodes.select("node", "registers", "plain")
 
     def band_rows(self, nodes: DataFrame) -> DataFrame:
-        """(key, band, node): a node's key in every band."""
+        """(key, band, node): a node's key in every band, of either sketch, each key once. Both have
+        the same keys, so that a node without repeats meets those with repeats by their sets."""
         width = 2 * self.rows
-        key = F.transform(F.sequence(F.lit(0), F.lit(self.bands - 1)), lambda i: F.struct(F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width))).alias("key"), i.alias("band")))
+        bands = F.sequence(F.lit(0), F.lit(self.bands - 1))
+        keys = lambda reg: F.transform(bands, lambda i: F.struct(F.xxhash64(i, F.substring(F.col(reg), i * width + 1, F.lit(width))).alias("key"), i.alias("band")))
+        key = F.when(F.col("plain").isNull(), keys("registers")).otherwise(F.array_distinct(F.concat(keys("registers"), keys("plain"))))
         return nodes.select(F.explode(key).alias("k"), "node").select("k.key", "k.band", "node")
 
     def likely(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -257,8 +273,8 @@ class NearDuplicates:
         pairs = cut(pairs, "pairs")
         ids = cut(_ends(pairs), "pair-nodes")
         held = cut(nodes.join(small_side(ids, 16), "node", "left_semi"), "pair-registers")
-        both = _pairs_of(_pairs_of(pairs, held, "a", {"registers": "ra"}), held, "b", {"registers": "rb"})
-        return both.select("a", "b", "ra", "rb").mapInArrow(_agree(self.k, LEAST_AGREEMENT), "a long, b long")
+        both = _pairs_of(_pairs_of(pairs, held, "a", {"registers": "ra", "plain": "pa"}), held, "b", {"registers": "rb", "plain": "pb"})
+        return both.select("a", "b", "ra", "rb", F.coalesce("pa", "ra").alias("pa"), F.coalesce("pb", "rb").alias("pb")).mapInArrow(_agree(self.k, LEAST_AGREEMENT), "a long, b long")
 
     def verified(self, likely: DataFrame) -> DataFrame:
         """The pairs (a, b) whose shingles are similar enough."""
@@ -302,7 +318,7 @@ class NearDuplicates:
         all_ = placed.select("key", "band", "part", "node", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(spot, "nj").cast("int").alias("j"), F.lit(1).alias("side"))
         ids = cut(placed.select("node").distinct(), "mixed-nodes")
         held = cut(nodes.join(small_side(ids, 16), "node", "left_semi"), "mixed-registers")
-        rows = few.unionByName(all_).join(held, "node").select("key", "i", "j", "side", "band", "part", "node", "registers")
+        rows = few.unionByName(all_).join(held, "node").select("key", "i", "j", "side", "band", "part", "node", "registers", "plain")
         rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         return rows.mapInArrow(_tiles(self.k, self.bands, self.rows, TILE_AGREEMENT), "a long, b long").distinct()
 

@@ -89,6 +89,18 @@ def test_registers_estimate_probability_jaccard():
     assert (r[0] == r[1]).mean() == pytest.approx(80 / 120, abs=0.04)
 
 
+def test_minhash_links_sets_with_repeated_passages(spark):
+    """Copies with a passage 20 times: their sets are alike, their weights are not. Each stands between
+    two other copies, so that it is neither end of their buckets."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for base in range(15):
+        words = [f"w{x}" for x in rng.integers(0, 100000, 450)]
+        rows += [(3 * base, " ".join(["x", *words[1:]])), (3 * base + 1, " ".join(words + words[-150:] * 19)), (3 * base + 2, " ".join(["y", *words[1:]]))]
+    got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {d: d // 3 * 3 for d, _ in rows}
+
+
 def test_minhash_odd(odd, none):
     got = {r.doc_id: r.class_id for r in minhash.classes(odd).collect()}
     assert got == {1: 1, 2: 2, None: None, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 9}
