@@ -30,12 +30,12 @@ def components(links: DataFrame) -> DataFrame:
     the number of rounds grows with the logarithm of the links.
     """
     edges = cut(links.where("u != v").select("u", "v"), "links")
-    seen = None
     while True:
         edges = cut(_small(_large(edges)), "stars")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        # done when every node has one root and no root has another
+        up, down = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")), edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        odd = up.unionByName(down).groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1")
+        if odd.isEmpty():
             break
-        seen = state
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,26 +1,27 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-A document's words shingles weigh 1 + ln(count). Each shingle is a Poisson process whose arrivals,
-at a rate of its weight, fall on registers at random; a register keeps the shingle that arrives
-first. Two documents agree in a register with the probability Jaccard similarity of their weights.
-Arrivals are drawn in rounds for whole batches of documents, and a shingle drops out as soon as
-its last arrival is later than the first arrivals of all of the document's registers. Documents with
-a repeated shingle have a second sketch with all weights 1, whose registers agree in the Jaccard
-similarity of the sets; for all others the two are the same.
+A document's word shingles weigh 1 + RISE * (1 - 1 / count). Each shingle is a Poisson process whose
+arrivals, at a rate of its weight, fall on registers at random; a register keeps the shingle that
+arrives first. Two documents agree in a register with the probability Jaccard similarity of their
+weights. Arrivals are drawn in rounds for whole batches of documents, and a shingle drops out as
+soon as its last arrival is later than the first arrivals of all of the document's registers. The
+weights lie so close together that documents whose sets of shingles have a Jaccard similarity of 0.8
+have a probability Jaccard of 0.76 at least, however often a passage is repeated in one of them: one sketch
+finds pairs that are alike by either measure.
 
 Documents with equal shingle counts are one node from the start, so that copies make no pairs.
-Nodes that agree in all registers of a band, of either sketch, meet in its bucket. There each is compared with the
+Nodes that agree in all registers of a band meet in its bucket. There each is compared with the
 bucket's least and greatest node, which links most copies. Buckets whose nodes are still in
 several components are gone through in tiles of bounded size: every node outside the bucket's
 largest component is compared with every node of another component by their registers, and only
-pairs that look similar by either sketch leave the tile. A link needs a similarity of 0.8 or more, computed from the
+pairs that look similar leave the tile. A link needs a similarity of 0.8 or more, computed from the
 two documents' shingles themselves: of the sets (Jaccard) or of the weights (probability Jaccard),
 whichever is greater.
 
 Defined cases: null and empty texts have no shingles and are classes of their own; fewer words
 than a shingle's make one shingle of all of them; rows that share a doc_id are one document and
-one class; rows without a doc_id are not linked and have a null class; an empty table gives no
-rows; extra columns are not read.
+one class, which is linked to all that any of the rows is linked to; rows without a doc_id are not
+linked and have a null class; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,29 +38,35 @@ from .common import cut, small_side, trim
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
-#: Registers of 16 bits. The first 80 make 20 bands of 4: a pair with similarity 0.8 misses all
-#: bands with a probability of 0.00003.
+#: What a shingle's weight gains at most by being repeated in its document.
+RISE = 0.1
+#: Registers of 16 bits. The first 80 make 20 bands of 4: a pair misses all bands with a probability
+#: of 0.00003 at a probability Jaccard of 0.8, and of 0.0003 at 0.76.
 REGISTERS, BANDS, ROWS = 384, 20, 4
-#: Pairs that in both sketches agree in less of the registers are not compared exactly. At similarity 0.8, 384
-#: registers agree in 0.65 or less with a probability below 1e-11, in 0.73 or less with 0.0004.
-#: The first holds for the pairs of a bucket's ends, which are few; the second for tiles, where
-#: a large group of documents with similarities of 0.6 to 0.7 would else fill the comparison.
-LEAST_AGREEMENT, TILE_AGREEMENT = 0.65, 0.73
+#: Pairs that agree in less of the registers are not compared exactly. 384 registers agree in 0.65 or
+#: less with a probability below 1e-11 at similarity 0.8 (0.000001 at 0.76), in TILE_AGREEMENT or less with
+#: 0.000005 (0.005). The first holds for the pairs of a bucket's ends, which are few; the second for
+#: tiles, where a large group of documents with similarities of 0.6 to 0.7 would else fill the comparison.
+LEAST_AGREEMENT, TILE_AGREEMENT = 0.65, 0.705
 #: Nodes on a side of a tile, about.
 TILE = 1024
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
 
-def registers(h: np.ndarray, rows: np.ndarray, weights: np.ndarray, n_rows: int, k: int) -> np.ndarray:
+def weights(counts: np.ndarray) -> np.ndarray:
+    return 1.0 + RISE * (1.0 - 1.0 / counts)
+
+
+def registers(h: np.ndarray, rows: np.ndarray, weight: np.ndarray, n_rows: int, k: int) -> np.ndarray:
     """ProbMinHash of every row: (n_rows, k) uint64, the winning shingle of each register.
 
-    h, rows, weights: distinct shingles, in order of their rows.
+    h, rows, weight: distinct shingles, in order of their rows.
     """
     first = np.full(n_rows * k, np.inf)
     winner = np.zeros(n_rows * k, _U)
     base = rows.astype(np.int64) * k
-    state, clock, w, home, own = h.copy(), np.zeros(len(h)), weights, base, h
+    state, clock, w, home, own = h.copy(), np.zeros(len(h)), weight, base, h
     while len(state):
         state = state + _STEP
         draw = sh.mix(state)
@@ -74,6 +81,14 @@ def registers(h: np.ndarray, rows: np.ndarray, weights: np.ndarray, n_rows: int,
     return winner.reshape(n_rows, k)
 
 
+def _content(h: np.ndarray, rows: np.ndarray, counts: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell documents with different shingle counts apart."""
+    one, two = np.zeros(n_rows, _U), np.zeros(n_rows, _U)
+    np.add.at(one, rows, sh.mix(h + counts.astype(_U) * _STEP))
+    np.add.at(two, rows, sh.mix(h * _U(0xC2B2AE3D27D4EB4F) + counts.astype(_U)))
+    return one.view(np.int64), two.view(np.int64)
+
+
 def _sketch(n: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,22 +96,11 @@ def _sketch(n: int, k: int):
             for row, ends, data in sh.chunks(batch.column("text")):
                 count = len(ends) - 1
                 h, rows, counts = sh.distinct(*sh.shingles(ends, data, n))
-                sizes = np.bincount(rows, minlength=count)
-                reg = registers(h, rows, 1.0 + np.log(counts), count, k)
-                packed = (reg >> _U(48)).astype("<u2")
-                again = np.zeros(count, bool)
-                again[rows[counts > 1]] = True
-                own = again[rows]
-                even = registers(h[own], (np.cumsum(again) - 1)[rows[own]], np.ones(int(own.sum())), int(again.sum()), k)
-                even = iter((even >> _U(48)).astype("<u2"))
-                plain = [next(even).tobytes() if x else None for x in again]
-                one, two = np.zeros(count, _U), np.zeros(count, _U)
-                np.add.at(one, rows, sh.mix(h + counts.astype(_U) * _STEP))
-                np.add.at(two, rows, sh.mix(h * _U(0xC2B2AE3D27D4EB4F) + counts.astype(_U)))
+                packed = (registers(h, rows, weights(counts), count, k) >> _U(48)).astype("<u2")
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(row, count), pa.array(sizes, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                    pa.array([packed[i].tobytes() for i in range(count)], pa.binary()), pa.array(plain, pa.binary()),
-                ], names=["doc_id", "shingles", "c1", "c2", "registers", "plain"])
+                    ids.slice(row, count), pa.array(np.bincount(rows, minlength=count), pa.int64()), *map(pa.array, _content(h, rows, counts, count)),
+                    pa.array([x.tobytes() for x in packed], pa.binary()),
+                ], names=["doc_id", "shingles", "c1", "c2", "registers"])
         trim()
 
     return run
@@ -113,10 +117,10 @@ def _contents(n: int):
                 h, rows, counts = sh.distinct(*sh.shingles(ends, data, n))
                 cuts = np.searchsorted(rows, np.arange(1, count))
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(row, count),
+                    ids.slice(row, count), *map(pa.array, _content(h, rows, counts, count)),
                     pa.array([x.tobytes() for x in np.split(h, cuts)], pa.binary()),
                     pa.array([x.tobytes() for x in np.split(counts.astype("<u4"), cuts)], pa.binary()),
-                ], names=["node", "h", "n"])
+                ], names=["node", "c1", "c2", "h", "n"])
         trim()
 
     return run
@@ -126,33 +130,31 @@ def _agree(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y, u, v = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, k) for c in ("ra", "rb", "pa", "pb"))
-                keep = pa.array(np.maximum((x == y).mean(axis=1), (u == v).mean(axis=1)) > least)
-                yield b.select(["a", "b"]).filter(keep)
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, k) for c in ("ra", "rb"))
+                yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) > least))
 
     return run
 
 
 def _tiles(k: int, bands: int, rows: int, least: float):
-    """Rows (key, i, j, side, band, part, node, registers, plain) in order of (key, i, j): compares the
-    nodes of side 0 with those of side 1 that are in another part, unless the two have met in an
-    earlier band, and keeps the pairs that agree in enough registers of either sketch."""
+    """Rows (key, i, j, side, band, part, node, registers) in order of (key, i, j): compares the nodes
+    of side 0 with those of side 1 that are in another part, unless the two have met in an earlier
+    band, and keeps the pairs that agree in enough registers."""
 
-    def compare(band: int, side: np.ndarray, part: np.ndarray, node: np.ndarray, sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def compare(band: int, side: np.ndarray, part: np.ndarray, node: np.ndarray, reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = [], []
-        keys = [np.ascontiguousarray(reg[:, : bands * rows]).reshape(len(reg), bands, rows) for reg in sketches]
+        key = np.ascontiguousarray(reg[:, : bands * rows]).reshape(len(reg), bands, rows)
         step = max(1, (1 << 22) // max(1, len(y) * 8))
         for at in range(0, len(x), step):
             own = x[at : at + step]
             fresh = part[own][:, None] != part[y][None, :]
             for t in range(band):
-                for key in keys:
-                    fresh &= (key[own, t][:, None] != key[y, t][None, :]).any(axis=2)
+                fresh &= (key[own, t][:, None] != key[y, t][None, :]).any(axis=2)
             i, j = np.nonzero(fresh)
             for f in range(0, len(i), 1 << 14):
                 p, q = own[i[f : f + (1 << 14)]], y[j[f : f + (1 << 14)]]
-                like = np.max([(reg[p] == reg[q]).mean(axis=1) for reg in sketches], axis=0) > least
+                like = (reg[p] == reg[q]).mean(axis=1) > least
                 a.append(node[p[like]])
                 b.append(node[q[like]])
         none = np.empty(0, np.int64)
@@ -163,13 +165,10 @@ def _tiles(k: int, bands: int, rows: int, least: float):
 
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key, i, j, side, band, part, node = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "band", "part", "node"))
-            reg = t.column("registers").to_pylist()
-            even = [x or y for x, y in zip(t.column("plain").to_pylist(), reg)]
-            reg, even = (np.frombuffer(b"".join(x), "<u2").reshape(-1, k) for x in (reg, even))
-            other = (reg != even).any(axis=1)
+            reg = np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(-1, k)
             new = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
             cuts = np.flatnonzero(new) + 1
-            found = [compare(int(band[a]), side[a:b], part[a:b], node[a:b], [reg[a:b], even[a:b]] if other[a:b].any() else [reg[a:b]]) for a, b in zip([0, *cuts], [*cuts, len(key)])]
+            found = [compare(int(band[a]), side[a:b], part[a:b], node[a:b], reg[a:b]) for a, b in zip([0, *cuts], [*cuts, len(key)])]
             a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -191,7 +190,7 @@ def _tiles(k: int, bands: int, rows: int, least: float):
 
 
 def similarity(ha: np.ndarray, na: np.ndarray, hb: np.ndarray, nb: np.ndarray) -> tuple[float, float]:
-    """Jaccard of the sets and probability Jaccard of the weights 1 + ln(count)."""
+    """Jaccard of the sets and probability Jaccard of the weights."""
     if not len(ha) or not len(hb):
         return 0.0, 0.0
     both, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
@@ -199,7 +198,7 @@ def similarity(ha: np.ndarray, na: np.ndarray, hb: np.ndarray, nb: np.ndarray) -
     plain = len(both) / union
     if not len(both):
         return 0.0, 0.0
-    wa, wb = 1 + np.log(na), 1 + np.log(nb)
+    wa, wb = weights(na), weights(nb)
     sa, sb = wa[ia], wb[ib]
     rest_a, rest_b = wa.sum() - sa.sum(), wb.sum() - sb.sum()
     if (wa == 1).all() and (wb == 1).all():
@@ -246,62 +245,63 @@ class NearDuplicates:
         self.k = max(REGISTERS, bands * rows)
 
     def sketches(self) -> tuple[DataFrame, DataFrame]:
-        """(doc_id, node) of all rows with an id, and (node, registers, plain) of the nodes with shingles;
-        plain is null where it is the same.
-        A node is the least doc_id of the documents with the same shingle counts."""
-        schema = "doc_id long, shingles long, c1 long, c2 long, registers binary, plain binary"
-        every = cut(self.docs.where("doc_id IS NOT NULL").mapInArrow(_sketch(self.words, self.k), schema), "sketches")
-        some = every.where("shingles > 0")
-        nodes = some.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("registers").alias("registers"), F.first("plain").alias("plain"))
-        nodes = cut(nodes, "nodes")
-        many = nodes.where("copies > 1").select("c1", "c2", "node")
-        member = every.select("doc_id", "shingles", "c1", "c2").join(many, ["c1", "c2"], "left")
-        member = member.select("doc_id", F.when(F.col("shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
-        return member, nodes.select("node", "registers", "plain")
+        """(doc_id, node) of all rows with an id, and (node, registers) of the nodes with shingles.
+        A node is the least doc_id of the documents with the same shingle counts. Registers are
+        shuffled only where the groups of equal documents are too many for a broadcast."""
+        schema = "doc_id long, shingles long, c1 long, c2 long, registers binary"
+        every = cut(self.docs.where("doc_id IS NOT NULL").mapInArrow(_sketch(self.words, self.k), schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
+        same = every.where("shingles > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"))
+        many = cut(same.where("copies > 1").select("c1", "c2", F.col("first.doc_id").alias("node"), F.col("first.row").alias("first")), "equal-documents")
+        known = every.join(small_side(many, 64), ["c1", "c2"], "left")
+        filled = F.col("shingles") > 0
+        member = known.select("doc_id", F.when(filled, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
+        nodes = known.where(filled & (F.col("first").isNull() | (F.col("first") == F.col("row")))).select(F.coalesce("node", "doc_id").alias("node"), "registers")
+        return member, cut(nodes, "nodes")
 
     def band_rows(self, nodes: DataFrame) -> DataFrame:
-        """(key, band, node): a node's key in every band, of either sketch, each key once. Both have
-        the same keys, so that a node without repeats meets those with repeats by their sets."""
+        """(key, band, node): a node's key in every band."""
         width = 2 * self.rows
-        bands = F.sequence(F.lit(0), F.lit(self.bands - 1))
-        keys = lambda reg: F.transform(bands, lambda i: F.struct(F.xxhash64(i, F.substring(F.col(reg), i * width + 1, F.lit(width))).alias("key"), i.alias("band")))
-        key = F.when(F.col("plain").isNull(), keys("registers")).otherwise(F.array_distinct(F.concat(keys("registers"), keys("plain"))))
-        return nodes.select(F.explode(key).alias("k"), "node").select("k.key", "k.band", "node")
+        key = lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width)))
+        keys = F.transform(F.sequence(F.lit(0), F.lit(self.bands - 1)), lambda i: F.struct(key(i).alias("key"), i.alias("band")))
+        return nodes.select(F.explode(keys).alias("k"), "node").select("k.key", "k.band", "node")
 
     def likely(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) whose registers agree enough."""
         pairs = cut(pairs, "pairs")
-        ids = cut(_ends(pairs), "pair-nodes")
-        held = cut(nodes.join(small_side(ids, 16), "node", "left_semi"), "pair-registers")
-        both = _pairs_of(_pairs_of(pairs, held, "a", {"registers": "ra", "plain": "pa"}), held, "b", {"registers": "rb", "plain": "pb"})
-        return both.select("a", "b", "ra", "rb", F.coalesce("pa", "ra").alias("pa"), F.coalesce("pb", "rb").alias("pb")).mapInArrow(_agree(self.k, LEAST_AGREEMENT), "a long, b long")
+        held = nodes.join(small_side(_ends(pairs), 16, 2 * pairs.count()), "node", "left_semi")
+        both = _pairs_of(_pairs_of(pairs, held, "a", {"registers": "ra"}), held, "b", {"registers": "rb"})
+        return both.select("a", "b", "ra", "rb").mapInArrow(_agree(self.k, LEAST_AGREEMENT), "a long, b long")
 
     def verified(self, likely: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose shingles are similar enough."""
-        likely = cut(likely, "likely-pairs")
-        ids = cut(_ends(likely), "likely-nodes")
-        own = self.docs.join(small_side(ids.withColumnRenamed("node", "doc_id"), 16), "doc_id", "left_semi")
-        contents = cut(own.mapInArrow(_contents(self.words), "node long, h binary, n binary"), "contents")
-        if contents.count() > ids.count():  # rows that share a doc_id
-            contents = contents.dropDuplicates(["node"])
+        """The links (u, v) of a written table of pairs (a, b): those whose shingles are similar enough."""
+        ids = small_side(_ends(likely).withColumnRenamed("node", "doc_id"), 16, 2 * likely.count())
+        own = self.docs.join(ids, "doc_id", "left_semi")
+        contents = cut(own.mapInArrow(_contents(self.words), "node long, c1 long, c2 long, h binary, n binary"), "contents")
+        if self.shared_ids:  # a document may have several texts, each counts once
+            contents = contents.dropDuplicates(["node", "c1", "c2"])
         both = _pairs_of(_pairs_of(likely, contents, "a", {"h": "ha", "n": "na"}), contents, "b", {"h": "hb", "n": "nb"})
-        return cut(both.mapInArrow(_verify(self.least), "a long, b long"), "similar-pairs")
+        return both.mapInArrow(_verify(self.least), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def classes(self) -> DataFrame:
         """doc_id, class_id of every row with an id; class_id is the least doc_id of the class."""
         member, nodes = self.sketches()
+        twice = member.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("__most"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+        self.shared_ids = not twice.isEmpty()
         rows = self.band_rows(nodes)
         buckets = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))
         buckets = cut(buckets.where("lo < hi"), "buckets")
         met = cut(rows.join(small_side(buckets, 40), "key"), "bucket-members")
         ends = F.explode(F.array(F.struct(F.least("node", "lo").alias("a"), F.greatest("node", "lo").alias("b")), F.struct(F.least("node", "hi").alias("a"), F.greatest("node", "hi").alias("b"))))
         pairs = met.select(ends.alias("p")).select("p.a", "p.b").where("a < b").distinct()
-        linked = self.verified(self.likely(pairs, nodes))
-        roots = cut(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+        likely = self.likely(pairs, nodes)
+        links = self.verified(cut(likely.distinct() if self.shared_ids else likely, "likely-pairs"))
+        if self.shared_ids:  # the nodes of one document are one class
+            several = twice.where("v < __most").select("doc_id", "v")
+            links = links.unionByName(member.join(several, "doc_id").select(F.col("node").alias("u"), "v").where("u != v").distinct())
+        roots = components(links)
         more = cut(self.across(met.where("size > 2"), roots, nodes), "pairs-across")
         if not more.isEmpty():
-            linked = linked.unionByName(self.verified(more))
-            roots = cut(components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(self.verified(more)))
         return member.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"))
 
     def across(self, met: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -316,9 +316,8 @@ class NearDuplicates:
         spot = F.xxhash64("node")
         few = placed.where("part != major").select("key", "band", "part", "node", F.pmod(spot, "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(0).alias("side"))
         all_ = placed.select("key", "band", "part", "node", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(spot, "nj").cast("int").alias("j"), F.lit(1).alias("side"))
-        ids = cut(placed.select("node").distinct(), "mixed-nodes")
-        held = cut(nodes.join(small_side(ids, 16), "node", "left_semi"), "mixed-registers")
-        rows = few.unionByName(all_).join(held, "node").select("key", "i", "j", "side", "band", "part", "node", "registers", "plain")
+        held = nodes.join(small_side(placed.select("node").distinct(), 16), "node", "left_semi")
+        rows = few.unionByName(all_).join(held, "node").select("key", "i", "j", "side", "band", "part", "node", "registers")
         rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         return rows.mapInArrow(_tiles(self.k, self.bands, self.rows, TILE_AGREEMENT), "a long, b long").distinct()
 

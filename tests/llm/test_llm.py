@@ -76,7 +76,7 @@ def test_minhash_against_all_pairs(spark):
 def test_probability_jaccard_by_definition():
     rng = np.random.default_rng(1)
     a, b = {k: int(rng.integers(1, 5)) for k in range(12)}, {k: int(rng.integers(1, 5)) for k in range(5, 17)}
-    w = lambda c, k: 1 + np.log(c[k]) if k in c else 0.0
+    w = lambda c, k: float(minhash.weights(np.array(c[k]))) if k in c else 0.0
     want = sum(1 / sum(max(w(a, e) / w(a, d), w(b, e) / w(b, d)) for e in range(17)) for d in a if d in b)
     at = lambda c: (np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)]))
     assert minhash.similarity(*at(a), *at(b))[1] == pytest.approx(want)
@@ -101,6 +101,33 @@ def test_minhash_links_sets_with_repeated_passages(spark):
     assert {r.doc_id: r.class_id for r in got} == {d: d // 3 * 3 for d, _ in rows}
 
 
+def test_minhash_finds_equal_sets_at_any_counts():
+    """However counts differ, sets with a Jaccard similarity of 0.8 have a probability Jaccard of 0.76."""
+    rng, least = np.random.default_rng(2), 1.0
+    for _ in range(300):
+        ha, hb = np.arange(180, dtype=np.uint64), np.arange(20, 200, dtype=np.uint64)
+        na, nb = (np.where(rng.random(180) < rng.random(), 10**6, 1) for _ in range(2))
+        plain, weighted = minhash.similarity(ha, na, hb, nb)
+        least = min(least, weighted)
+        assert plain == pytest.approx(0.8)
+    assert 0.755 < least < 0.8
+
+
+def test_minhash_links_a_passage_repeated_a_thousand_times(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in rng.integers(0, 100000, 204)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + words[100:] * 1000)), (3, " ".join(f"v{x}" for x in range(300)))]
+    got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
+def test_minhash_doc_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, b), (12, c), (12, ""), (13, c + " more"), (14, ""), (15, "z " * 40)]
+    got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(3, 3), (5, 3), (5, 3), (9, 3), (9, 3), (12, 12), (12, 12), (13, 12), (14, 14), (15, 15)]
+
+
 def test_minhash_odd(odd, none):
     got = {r.doc_id: r.class_id for r in minhash.classes(odd).collect()}
     assert got == {1: 1, 2: 2, None: None, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 9}
