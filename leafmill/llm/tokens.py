@@ -21,6 +21,9 @@ CACHE_PARTS = 400_000
 #: Characters that are split at a time.
 SLICE_CHARS = 1 << 20
 _TAIL = string.punctuation.replace("'", "")
+#: Letters below it, but for the dotted capital I, are a single code point to every step of the tokenizer:
+#: normalisation leaves them alone and lower case goes letter by letter.
+_PLAIN = "\u0250"
 _END = "</w>"
 
 
@@ -74,18 +77,16 @@ class WordTokenizer:
             self._put(numbers, np.fromiter(chain.from_iterable(ids), "<u4"), np.cumsum([len(x) for x in ids]))
 
     def _encode_letters(self, numbers: list[int], parts: list[str], step: int = 1000) -> None:
-        """Parts of letters only are encoded a thousand at a time. Each is one word to the
-        tokenizer, ending in one word-end id; where the count of those differs (letters that
-        normalisation takes apart), the parts are encoded one by one."""
+        """Parts of plain lower-case letters are encoded a thousand at a time: each is one word to the
+        tokenizer and ends in one word-end id."""
         at = range(0, len(parts), step)
         joined = self._tok.encode_batch([" ".join(parts[i : i + step]) for i in at], add_special_tokens=False)
         for i, e in zip(at, joined):
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) == len(parts[i : i + step]):
-                self._put(numbers[i : i + step], ids, ends)
-            else:
-                self._encode(numbers[i : i + step], parts[i : i + step])
+            if len(ends) != len(parts[i : i + step]):
+                raise RuntimeError("the tokenizer does not end every word in one word-end id")
+            self._put(numbers[i : i + step], ids, ends)
 
     def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of parts one after another, and where each part's end."""
@@ -94,18 +95,15 @@ class WordTokenizer:
         return self._ids[np.repeat(self._start[numbers] - (ends - size), size) + np.arange(int(ends[-1]))], ends
 
     def _learn(self) -> None:
-        """Ids for all new parts: letters with punctuation behind them, or in upper case, are put
-        together from simpler parts; the rest is encoded."""
+        """Ids for all new parts: plain letters with punctuation behind them, or in upper case, are put
+        together from simpler parts; every other part is encoded as it is."""
         index, new = self._index, self._index.new
         number = len(index) - len(new)
         letters, odd, made, pieces = ([], []), ([], []), [], []
         for part in new:  # grows meanwhile
             core = part.rstrip(_TAIL)
-            if core.isalpha():
+            if core.isalpha() and (core.isascii() or (max(core) < _PLAIN and "\u0130" not in core)):
                 low = core.lower()
-                # below U+0250 lower case is the same letter by letter, but for the dotted I
-                if low != core and (max(core) >= "ɐ" or "İ" in core):
-                    low = core
                 if low == part:
                     letters[0].append(number)
                     letters[1].append(part)

@@ -172,6 +172,63 @@ def test_packing_round_trip(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_token_ids_of_every_letter():
+    """Every assigned letter and mark alone, in both cases, before and after punctuation, marks, digits and letters."""
+    import sys
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from leafmill.llm.tokens import WordTokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    tok, own = Tokenizer.from_file(path), WordTokenizer(path)
+    signs = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] in "LM" and not "\u4e00" < c < "\u9fff" and not "\uac00" < c < "\ud7a3" and c < "\U00013000"]
+    texts = [" ".join((c, f"{c},", f"{c.upper()}!?", f"a{c}b.", f"{c}\u0301-", f"({c}", f"{c}1", f"{c}'s", f"A{c}")) for c in signs]
+    texts += ["\u0915\u093c,", "I\u0307,", "<|endoftext|> a<|endoftext|>b <|startoftext|>,", "\u03a3\u0391\u03a3. \u039f\u0394\u039f\u03a3", "don't DON'T'S 've'll", "a\u00a0b\tc\x0bd\u2028e", "x_y __ -- 3.14", ""]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert [t for t, x, y in zip(texts, got, want) if x != y] == []
+
+
+def test_packing_by_classes_is_best_fit():
+    rng = np.random.default_rng(4)
+    for top in (3, 40, 500, 1000):
+        sizes = rng.integers(1, top, 3000).tolist()
+        counts = Counter(sizes)
+        runs, bins = packing.fit_classes(list(counts), list(counts.values()), 1000)
+        assert len(packing.best_fit(sizes, 1000)[2]) == sum(n for _, n, _ in bins)
+        spans, ranks = {}, {}
+        for size, rank, n, first, at in runs:
+            ranks.setdefault(size, []).append((rank, rank + n))
+            for b in range(first, first + n):
+                spans.setdefault(b, []).append((at, at + size))
+        fills = {b: f for first, n, f in bins for b in range(first, first + n)}
+        for b, own in spans.items():
+            own.sort()
+            assert [x for x, _ in own] == [0, *[y for _, y in own[:-1]]] and own[-1][1] == fills[b] <= 1000
+        for size, own in ranks.items():
+            own.sort()
+            assert [x for x, _ in own] == [0, *[y for _, y in own[:-1]]] and own[-1][1] == counts[size]
+
+
+@pytest.mark.parametrize("parts", [1, 9, 90])
+def test_packing_reaches_the_bound(spark, parts):
+    """Nearly as few sequences as best-fit needs for all pieces at once: partitions of 11 documents cost 4 %."""
+    docs = input_table(spark, SF.replace("0.001", "0.01"), "documents").repartition(parts)
+    rows = packing.pack(docs).collect()
+    whole = len(packing.best_fit([r.length for r in rows], 2048)[2])
+    bound = -(-sum(r.length for r in rows) // 2048)
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(n for _, n in own) <= 2048
+    assert bound <= len(places) <= {1: 1.0, 9: 1.015, 90: 1.04}[parts] * whole + 1
+
+
 def test_warc_odd(spark, tmp_path):
     big = "<p>é</p>" * 400
     pages = [(1, "http://a/x y", big), (2, None, big), (3, "http://b/", None), (None, "http://c/", "tiny"), (4, "::bad[", big), (5, "http://d", "tiny")]
