@@ -7,11 +7,14 @@
    suspect hashes are shuffled with their text, which is grouped by its bytes: a text's group is
    found by equality and never by its hash alone.
 
-Rows whose hash nobody else has never leave their partition.
-
-Defined cases: a null text counts as empty, and empty texts equal each other; a null doc_id is
-smaller than any other; of rows with the same text and the same largest doc_id exactly one is
-kept; an empty table gives an empty table; other columns pass through ``annotate`` unread.
+Rows whose hash nobody else has never leave their partition. A group's verdict is a few numbers
+under its hash and SHA-256; rows find it by these, and no text is shuffled for it unless the
+caller asks for the texts of all rows that stay and the verdicts are too many for a broadcast.
+
+Defined cases: a null text counts as empty, and empty texts equal each other; very long texts are
+compared whole, like any other; a null doc_id is smaller than any other; of rows with the same text
+and the same largest doc_id exactly one is kept; an empty table gives an empty table; other columns
+pass through unread, whatever their names, but ``annotate`` replaces those that it returns itself.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golomb
@@ -82,56 +85,54 @@ def suspect_hashes(hashes: DataFrame, rows: int) -> DataFrame:
 
 
 def duplicate_groups(docs: DataFrame, fingerprint: Fingerprint = F.xxhash64) -> DataFrame:
-    """One row per text that two rows or more have: its hash and SHA-256, keep_id, group_size,
-    ``ties`` (rows that have keep_id), ``twins`` (different texts that share hash and SHA-256)
-    and, only where twins > 1, the text itself."""
-    text = text_or_empty()
-    keyed = docs.select("doc_id", text.alias("text")).withColumn(_H, fingerprint(F.col("text")))
+    """One row per text that two rows or more have: its hash and SHA-256, keep_id, group_size and
+    ``ties``, the number of rows that have keep_id."""
+    keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumn(_H, fingerprint(F.col("text")))
     suspects = cut(suspect_hashes(keyed.select(_H), docs.count()), "suspect-hashes")
-    rows = cut(keyed.join(small_side(suspects, 16), _H, "left_semi"), "suspects")
+    rows = cut(keyed.join(small_side(suspects, 16), _H, "left_semi").withColumn(_SHA, F.unhex(F.sha2("text", 256))), "suspects")
     # Grouping by the text compares bytes; repeats inside a partition collapse before the shuffle.
-    groups = rows.groupBy(_H, "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = cut(groups.where("group_size > 1").withColumn(_SHA, F.sha2("text", 256)), "groups")
-    twins = groups.groupBy(_H, _SHA).agg(F.count(F.lit(1)).alias("twins")).where("twins > 1")
-    twins = cut(twins, "twins")
-    texts = F.when(F.col("twins").isNotNull(), F.col("text"))
-    groups = groups.join(small_side(twins, 100), [_H, _SHA], "left").withColumn("text", texts)
-    groups = groups.withColumn("twins", F.coalesce("twins", F.lit(1)))
-    holders = rows.withColumn(_SHA, F.sha2("text", 256)).select(_H, _SHA, F.col("doc_id").alias("keep_id"), F.col("text").alias("__t"))
-    ties = (
-        holders.groupBy(_H, _SHA, "keep_id").agg(F.count(F.lit(1)).alias("ties")).where("ties > 1")
-    )
-    same = (groups[_H] == ties[_H]) & (groups[_SHA] == ties[_SHA]) & groups["keep_id"].eqNullSafe(ties["keep_id"])
-    groups = groups.join(ties, same, "left").select(groups[_H], groups[_SHA], groups["keep_id"], "group_size", F.coalesce("ties", F.lit(1)).alias("ties"), "twins", groups["text"])
-    return cut(groups, "verdicts")
+    groups = rows.groupBy(_H, _SHA, "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = groups.where("group_size > 1").select(_H, _SHA, "keep_id", "group_size")
+    holders = rows.groupBy(_H, _SHA, "doc_id").agg(F.count(F.lit(1)).alias("ties")).where("ties > 1")
+    holders = holders.select(F.col(_H).alias("__h2"), F.col(_SHA).alias("__sha2"), "doc_id", "ties")
+    same = (F.col(_H) == F.col("__h2")) & (F.col(_SHA) == F.col("__sha2")) & F.col("keep_id").eqNullSafe(F.col("doc_id"))
+    return cut(groups.join(holders, same, "left").select(_H, _SHA, "keep_id", "group_size", F.coalesce("ties", F.lit(1)).alias("ties")), "verdicts")
 
 
-def annotate(docs: DataFrame, fingerprint: Fingerprint = F.xxhash64) -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256 for every row."""
+def _judged(docs: DataFrame, fingerprint: Fingerprint) -> DataFrame:
+    """The caller's columns as __c0, __c1, ... and the verdict as __keep, __size, __kept, __sha."""
     groups = duplicate_groups(docs, fingerprint)
-    own = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
     text = text_or_empty()
-    keyed = docs.select(*own, fingerprint(text).alias(_H), F.sha2(text, 256).alias("text_sha256"))
-    g = groups.select(F.col(_H).alias("__gh"), F.col(_SHA).alias("__gsha"), "keep_id", "group_size", "ties", "twins", F.col("text").alias("__gtext"))
-    same = (F.col(_H) == F.col("__gh")) & (F.col("text_sha256") == F.col("__gsha")) & ((F.col("twins") == 1) | (text == F.col("__gtext")))
-    joined = keyed.join(small_side(g, 160), same, "left")
-    first = F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    own = [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)]
+    keyed = docs.select(*own, F.col("doc_id").alias("__id"), fingerprint(text).alias(_H), F.unhex(F.sha2(text, 256)).alias(_SHA))
+    g = groups.select(F.col(_H).alias("__gh"), F.col(_SHA).alias("__gsha"), F.col("keep_id").alias("__top"), F.col("group_size").alias("__n"), F.col("ties").alias("__ties"))
+    joined = keyed.join(small_side(g, 120), (F.col(_H) == F.col("__gh")) & (F.col(_SHA) == F.col("__gsha")), "left")
+    alone = F.col("__n").isNull()
     out = joined.select(
-        *own,
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        first.alias("kept"),
-        "text_sha256",
-        F.coalesce("ties", F.lit(1)).alias("__ties"),
+        *[f"__c{i}" for i in range(len(own))],
+        F.when(alone, F.col("__id")).otherwise(F.col("__top")).alias("__keep"),
+        F.coalesce("__n", F.lit(1)).cast("long").alias("__size"),
+        (alone | F.col("__id").eqNullSafe(F.col("__top"))).alias("__kept"),
+        _SHA,
+        F.coalesce("__ties", F.lit(1)).alias("__ties"),
     )
     if groups.where("ties > 1").isEmpty():
-        return out.drop("__ties")
-    tied = F.col("kept") & (F.col("__ties") > 1)
-    one = Window.partitionBy("text_sha256", text).orderBy("doc_id")
-    again = out.where(tied).withColumn("kept", F.row_number().over(one) == 1)
-    return out.where(~tied).unionByName(again).drop("__ties")
+        return out
+    tied = F.col("__kept") & (F.col("__ties") > 1)
+    again = cut(out.where(tied).withColumn("__row", F.monotonically_increasing_id()), "ties")
+    first = again.groupBy(F.col(_SHA).alias("__s")).agg(F.min("__row").alias("__first"))
+    again = again.join(first, F.col(_SHA) == F.col("__s")).withColumn("__kept", F.col("__row") == F.col("__first"))
+    return out.where(~tied).unionByName(again.select(*out.columns))
+
+
+def annotate(docs: DataFrame, fingerprint: Fingerprint = F.xxhash64) -> DataFrame:
+    """docs with keep_id, group_size, kept and text_sha256 for every row."""
+    new = {"keep_id": F.col("__keep"), "group_size": F.col("__size"), "kept": F.col("__kept"), "text_sha256": F.lower(F.hex(_SHA))}
+    own = [F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in new]
+    return _judged(docs, fingerprint).select(*own, *[c.alias(k) for k, c in new.items()])
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact deduplication drops."""
-    return annotate(docs).where("kept").select(*docs.columns)
+    kept = _judged(docs, F.xxhash64).where("__kept")
+    return kept.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
