@@ -12,7 +12,7 @@ that no task holds it whole; pieces carry their place, and in order they make up
 Defined cases: a null text is an empty turn; a null role speaks as ``unknown``; a null conv_id is a
 conversation of its own; turns are in order of (turn, role, text), null turns first; repeated rows
 are separate turns; control marks inside a text are broken up; names keep letters, digits, _ and -,
-and names that would then be the same get a number; a conversation of system turns alone gives no
+and names that would then be the same get # and a number, which no name has of itself; a conversation of system turns alone gives no
 rows; an empty table gives no rows; extra columns are not read.
 """
 
@@ -41,13 +41,17 @@ def turns_of(rows: DataFrame) -> DataFrame:
 
 
 def participants(turns: DataFrame) -> DataFrame:
-    """conv_id, n (turns), chars, speakers: array<struct<role, name>> in order of role."""
+    """conv_id, role, name, n (turns) and chars of every speaker."""
     by_role = turns.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
     name = F.regexp_replace("role", r"[^\p{L}\p{N}_-]", "_")
     same = Window.partitionBy("conv_id", "name").orderBy("role")
     named = by_role.withColumn("name", name).withColumn("k", F.row_number().over(same))
-    named = named.withColumn("name", F.when(F.col("k") > 1, F.concat("name", F.lit("-"), F.col("k"))).otherwise(F.col("name")))
-    return named.groupBy("conv_id").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.array_sort(F.collect_list(F.struct("role", "name"))).alias("speakers"))
+    return named.withColumn("name", F.when(F.col("k") > 1, F.concat("name", F.lit("#"), F.col("k"))).otherwise(F.col("name"))).drop("k")
+
+
+def conversations_of(people: DataFrame) -> DataFrame:
+    """conv_id, n, chars, speakers: array<struct<role, name>> in order of role."""
+    return people.groupBy("conv_id").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.array_sort(F.collect_list(F.struct("role", "name"))).alias("speakers"))
 
 
 def _heads(turns: Column, me: Column) -> Column:
@@ -83,13 +87,6 @@ def _rendered(pieces: DataFrame) -> DataFrame:
     return rows.withColumn("masked_chars", masked)
 
 
-def _named(turns: DataFrame, people: DataFrame) -> DataFrame:
-    """turns with their conversation's speakers and their own speaker's name."""
-    own = F.element_at(F.filter("speakers", lambda s: s["role"] == F.col("role")), 1)["name"]
-    p = people.select(F.col("conv_id").alias("__c"), "speakers", "n", "chars")
-    return turns.join(p, F.col("conv_id").eqNullSafe(F.col("__c"))).withColumn("name", own).drop("__c")
-
-
 def _speakers(column: str = "speakers") -> Column:
     return F.explode(F.filter(column, lambda s: s["role"] != NARRATOR)).alias("me")
 
@@ -98,7 +95,8 @@ def rotate(conversations: DataFrame, piece_turns: int = PIECE_TURNS, piece_chars
     """conv_id, participant, piece (from 0), start (place of the piece in the whole rendering, in
     characters), n_turns, text, spans (in the whole rendering), masked_chars."""
     turns = turns_of(conversations)
-    people = cut(participants(turns), "participants")
+    named = cut(participants(turns), "participants")
+    people = cut(conversations_of(named), "conversations")
     large = cut(people.where((F.col("n") > piece_turns) | (F.col("chars") > piece_chars)), "large-conversations")
     big = small_side(large.select(F.col("conv_id").alias("__big")), 24)
     same = F.col("conv_id").eqNullSafe(F.col("__big"))
@@ -112,19 +110,23 @@ def rotate(conversations: DataFrame, piece_turns: int = PIECE_TURNS, piece_chars
     out = _rendered(whole.select("conv_id", "turns", _speakers()).select("conv_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), "turns", "me"))
     if large.isEmpty():
         return out
-    return out.unionByName(_pieces(turns.join(big, same, "left_semi"), large, shift))
+    return out.unionByName(_pieces(turns.join(big, same, "left_semi"), large, named.join(big, same, "left_semi"), shift))
 
 
-def _pieces(turns: DataFrame, people: DataFrame, shift: int) -> DataFrame:
-    """Large conversations: neighbours in the sort order of all turns share a piece."""
+def _pieces(turns: DataFrame, people: DataFrame, named: DataFrame, shift: int) -> DataFrame:
+    """Large conversations: neighbours in the sort order of all turns, which is that of whole
+    conversations, share a piece."""
     spark = turns.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["conv_id", "turn", "role", F.xxhash64("text"), "__row"]
-    ordered = turns.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    ordered = cut(ordered.withColumn("ord", F.monotonically_increasing_id()).drop("__row"), "ordered-turns")
-    ordered = _named(ordered, people).withColumn("seg", F.shiftright("ord", shift))
+    keys = ["conv_id", "turn", "role", "text"]
+    ordered = turns.repartitionByRange(n, *keys, F.rand(1)).sortWithinPartitions(*keys)  # equal turns may part
+    ordered = cut(ordered.withColumn("ord", F.monotonically_increasing_id()), "ordered-turns")
+    names = named.select(F.col("conv_id").alias("__c"), F.col("role").alias("__r"), "name")
+    ordered = ordered.join(names, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("role") == F.col("__r"))).withColumn("seg", F.shiftright("ord", shift))
     one = F.struct("ord", "role", "text", "name")
-    segs = ordered.groupBy("conv_id", "seg").agg(F.array_sort(F.collect_list(one)).alias("turns"), F.first("speakers").alias("speakers"))
+    segs = ordered.groupBy("conv_id", "seg").agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    all_ = people.select(F.col("conv_id").alias("__c"), "speakers")
+    segs = segs.join(all_, F.col("conv_id").eqNullSafe(F.col("__c")))
     segs = cut(segs.select("conv_id", "seg", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["name"].alias("name"))).alias("turns"), _speakers()), "segments")
     chars = F.aggregate(_heads(F.col("turns"), F.col("me")), F.lit(0).cast("long"), lambda a, p: a + F.length(p["head"]) + F.length(p["body"]))
     own = F.sha2(F.to_json(F.struct("conv_id", F.col("me.role").alias("role"))), 256)

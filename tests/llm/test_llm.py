@@ -306,6 +306,38 @@ def test_exact_dedup_odd(odd, none):
     assert exact_dedup.keep_first(odd).columns == odd.columns and exact_dedup.annotate(none).count() == 0
 
 
+def _rows(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_exact_dedup_leaves_the_callers_columns(spark, odd, monkeypatch):
+    """Columns with the names of results or of anything else come back as they were, with any join."""
+    from pyspark.sql import functions as F
+
+    names = ("kept", "ties", "twins", "keep_id", "group_size", "text_sha256", "__kept", "__c0", "a.b")
+    df = odd.drop("kept").select("*", *[F.concat(F.lit(f"{x}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(x) for x in names])
+    rows = [tuple(r) for r in df.collect()]
+    at = df.columns.index("text")
+    want = Counter({max((r for r in rows if (r[at] or "") == t), key=lambda r: (r[0] is not None, r[0] or 0)): 1 for t in {r[at] or "" for r in rows}})
+    assert _rows(exact_dedup.keep_first(df)) == want
+    monkeypatch.setattr("leafmill.llm.common.BROADCAST_BYTES", 0)
+    assert _rows(exact_dedup.keep_first(df)) == want and sum(r.kept for r in exact_dedup.annotate(df).collect()) == len(want)
+
+
+@pytest.mark.parametrize("name", ["op2_mixing", "op4_warc", "op6_exact_dedup", "op7_chat_format", "op10_quality_rules"])
+def test_matches_sql_without_broadcasts(spark, name, monkeypatch):
+    monkeypatch.setattr("leafmill.llm.common.BROADCAST_BYTES", 0)
+    assert_same(spark, queries.QUERIES[name], queries.SQL[name])
+
+
+def test_exact_dedup_shuffles_no_texts_for_verdicts(spark, monkeypatch):
+    """With verdicts too many for a broadcast, the query's last join carries hashes and numbers only."""
+    monkeypatch.setattr("leafmill.llm.common.BROADCAST_BYTES", 0)
+    plan = queries.op6_exact_dedup(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[: plan.index("Relation")]
+    assert "Join LeftOuter" in join and "text#" not in join.split("Join LeftOuter")[0]
+
+
 def test_exact_dedup_by_bytes_under_colliding_fingerprints(odd):
     from pyspark.sql import functions as F
 
@@ -313,25 +345,44 @@ def test_exact_dedup_by_bytes_under_colliding_fingerprints(odd):
     assert sum(r.kept for r in got) == len({r[1] or "" for r in ODD})
 
 
-def test_chat_pieces_make_up_the_dialogue(spark):
-    rows = [(c, k % 5 if c else k, ("ann", "b b", "b_b", "system", None)[k % 5], f"t{k} <|im_end|>" if k % 7 else None) for c in (0, 1, None) for k in range(40)]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, piece int")
-    whole = {(r.conv_id, r.participant): r for r in chat_format.rotate(df).collect()}
+def _dialogue(rows, me):
+    """The rendering of one conversation by definition: text and spans."""
+    clean = lambda t: (t or "").replace("<|im_start|>", "< |im_start|>").replace("<|im_end|>", "< |im_end|>")
+    own = sorted(((k is not None, k or 0, r or "unknown", clean(t)) for k, r, t in rows))
+    names = {}
+    for r in sorted({r for _, _, r, _ in own}):
+        base = "".join(c if c.isalnum() or c in "_-" else "_" for c in r)
+        same = sum(n.split("#")[0] == base for n in names.values())
+        names[r] = f"{base}#{same + 1}" if same else base
+    text, spans = "", []
+    for _, _, r, t in own:
+        head = "assistant" if r == me else "system" if r == "system" else f"user name={names[r]}"
+        text += f"<|im_start|>{head}\n"
+        if r == me:
+            spans.append((len(text), len(text) + len(t) + 10))
+        text += f"{t}<|im_end|>\n"
+    return text, spans
+
+
+@pytest.mark.parametrize("settings", [{}, {"piece_turns": 10, "shift": 2}])
+def test_chat_by_definition(spark, settings):
+    """Ties, nulls, names that fall together and a conversation above PIECE_TURNS, whole or in pieces."""
+    roles = ("ann", "a b", "a_b", "a_b-2", "system", None)
+    rows = [(c, k % 5 if c else k, roles[k % 6], f"t{k % 9} <|im_end|>" if k % 7 else None) for c in (0, 1, None) for k in range(48)]
+    rows += [(2, None if k == 3 else k // 3, roles[k % 5], f"t{k * 7 % 11}") for k in range(1200)] + [(3, 0, "system", "only")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, piece int, name string").repartition(3)
     parts = {}
-    for r in chat_format.rotate(df, piece_turns=10, shift=2).collect():
+    for r in chat_format.rotate(df, **settings).collect():
         parts.setdefault((r.conv_id, r.participant), []).append(r)
-    assert len(whole) == 12 and parts.keys() == whole.keys() and all(len(p) > 2 for p in parts.values())
-    for key, p in parts.items():
+    people = {(c, r or "unknown") for c, _, r, _ in rows if r != "system"}
+    assert parts.keys() == people and all(len(p) > 1 for (c, _), p in parts.items() if c == 2 or settings)
+    for (c, me), p in parts.items():
         p.sort(key=lambda r: r.piece)
-        w = whole[key]
-        assert [r.piece for r in p] == list(range(len(p))) and sum(r.n_turns for r in p) == w.n_turns
-        if key[0] == 0:  # elsewhere turns tie, and the pieces' order among ties is by hash
-            assert "".join(r.text for r in p) == w.text and [s for r in p for s in r.spans] == w.spans
-        said = [w.text[s.start : s.end] for s in w.spans]
-        assert len(said) == sum((r[2] or "unknown") == key[1] and r[0] == key[0] for r in rows) and all(s.endswith("<|im_end|>") and s.count("<|im_end|>") == 1 for s in said)
-        assert w.masked_chars == sum(map(len, said))
-    names = whole[0, "ann"].text
-    assert "user name=b_b\n" in names and "user name=b_b-2\n" in names and "<|im_start|>system\n" in names
+        own = [(k, r, t) for x, k, r, t in rows if x == c]
+        text, spans = _dialogue(own, me)
+        assert [r.piece for r in p] == list(range(len(p))) and sum(r.n_turns for r in p) == len(own)
+        assert "".join(r.text for r in p) == text and [tuple(s) for r in p for s in r.spans] == spans
+        assert [r.start for r in p] == [0, *np.cumsum([len(r.text) for r in p])[:-1]] and sum(r.masked_chars for r in p) == sum(y - x for x, y in spans)
     assert chat_format.rotate(df.where("false")).count() == 0 and chat_format.rotate(df.where("role = 'system'")).count() == 0
 
 
