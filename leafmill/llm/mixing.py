@@ -1,12 +1,14 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a sequence of slots of equally many words. Slot i falls on the golden-ratio point
+The mix is a sequence of slots of equally many words, a SLOTS-th of all words (one word at least), so that the
+schedule is as long and as exact for any input. Slot i falls on the golden-ratio point
 frac(i * phi), which the cumulative targets map to a source; any stretch of the schedule keeps
 close to the targets. A source's documents, shuffled by a hash and laid end to end, repeat as
 often as it needs; its k-th slot takes the k-th block of that stream.
 
-No step holds a source in one task: ranks of slots and places of documents are prefix sums in two
-levels (inside a chunk, and over the chunks' totals).
+No step holds a source, or all sources, in one task: ranks of slots, places of documents and places of
+sources are prefix sums in two levels (inside a chunk, and over the chunks' totals). The level that
+the sources' shares rise to is found by sums over all sources, a few times over.
 
 Defined cases: a null text has size 0 and nothing of it is taken; a null source is a source of its
 own and comes last; repeated rows are separate documents; without any words all targets are 0; an
@@ -24,35 +26,39 @@ PHI = 0.6180339887498949
 #: A source repeats at most so often.
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
-#: Slots of a small mix at least, and words of a slot at most.
-SLOTS, BLOCK = 1 << 18, 4096
+#: Slots of a mix, about.
+SLOTS = 1 << 18
 #: Documents that one window of the shuffled order holds, about; slots likewise.
 CHUNK = 1 << 16
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """(source, source_size, target, lo, hi): shares of all words by weight, where none exceeds
-    epochs times its source's size. With every r = epochs * size / weight in order, the sources
-    below some r are full and the others share the rest by weight; [lo, hi) is the part of the unit
-    interval that belongs to a source."""
+    """(source, place, source_size, target, total, lo, hi, whole): shares of all words by weight, where
+    none exceeds epochs times its source's size. Sources that would exceed it are full, and the others
+    share the rest by weight; as the level rises, more are full, until it stays. [lo, hi) of whole is
+    the part of the schedule that belongs to a source."""
+    spark = sizes.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    every = Window.orderBy(F.asc_nulls_last("source"))
-    place = F.row_number().over(every)
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (place - 1) % len(weights) + 1)
-    s = by_source.select("source", "source_size", place.alias("place"), w.alias("w"))
+    ordered = by_source.repartitionByRange(n, F.asc_nulls_last("source")).sortWithinPartitions(F.asc_nulls_last("source"))
+    ordered = cut(ordered.withColumn("ord", F.monotonically_increasing_id()).withColumn("chunk", F.spark_partition_id()).withColumn("one", F.lit(1)), "sources")
+    placed = prefix(ordered, "one", "chunk", F.lit(1).cast("long"), ["ord"]).withColumn("place", F.col("before") + 1)
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    s = cut(placed.select("source", "source_size", "place", w.alias("w"), "chunk", "one"), "placed-sources")
     cap = epochs * F.col("source_size")
-    fill = Window.orderBy(cap / F.col("w"), "place")
-    done = F.coalesce(F.sum(cap).over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(Window.partitionBy())
-    s = s.withColumn("total", total).withColumn("level", (F.col("total") - done) / left)
-    # the first source that stays under its cap sets the level for all that follow it
-    level = F.coalesce(F.min(F.when(F.col("level") <= cap / F.col("w"), F.struct(cap / F.col("w"), "place", "level"))).over(Window.partitionBy())["level"], F.lit(0.0))
-    s = s.withColumn("level", level).withColumn("target", F.least(cap.cast("double"), F.col("level") * F.col("w")))
-    upto = F.sum("target").over(Window.orderBy("place"))
-    whole = F.sum("target").over(Window.partitionBy())
-    s = s.select("source", "place", "source_size", "target", "total", upto.alias("upto"), whole.alias("whole"))
-    return s.select("source", "place", "source_size", "target", "total", F.coalesce(F.lag("upto").over(Window.orderBy("place")), F.lit(0.0)).alias("lo"), F.col("upto").alias("hi"), "whole")
+    total, level = s.agg(F.sum("source_size")).first()[0] or 0, -1.0
+    while True:
+        full = cap / F.col("w") < level
+        done, left = s.agg(F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("w")))).first()
+        higher = (total - (done or 0)) / left if left else level
+        if higher <= level:
+            break
+        level = higher
+    target = F.least(cap.cast("double"), F.lit(max(level, 0.0)) * F.col("w"))
+    s = s.withColumn("target", target)
+    whole = s.agg(F.sum("target")).first()[0] or 0.0
+    found = prefix(s, "one", "chunk", F.col("target"), ["place"]).withColumn("lo", F.col("before").cast("double"))
+    return found.select("source", "place", "source_size", "target", F.lit(total).alias("total"), "lo", (F.col("lo") + F.col("target")).alias("hi"), F.lit(whole).alias("whole"))
 
 
 def prefix(rows: DataFrame, key: str, chunk: str, value, order: list) -> DataFrame:
@@ -73,7 +79,7 @@ def schedule(sources: DataFrame, slots: int, n_sources: int) -> DataFrame:
     cells = 4 * n_sources
     lo, hi = F.col("lo") / F.col("whole"), F.col("hi") / F.col("whole")
     # equi-join on a cell of the unit interval; a cell holds a few sources at most on average
-    guide = sources.where("target > 0").select("place", lo.alias("lo"), F.when(F.col("hi") >= F.col("whole"), F.lit(2.0)).otherwise(hi).alias("hi"))
+    guide = sources.where("target > 0").select("place", lo.alias("lo"), F.when(F.col("hi") >= F.col("whole") * (1 - 1e-12), F.lit(2.0)).otherwise(hi).alias("hi"))
     guide = guide.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1).cast("long")))))
     u = F.col("id") * F.lit(PHI) - F.floor(F.col("id") * F.lit(PHI))
     points = spark.range(slots).select("id", u.alias("u")).withColumn("cell", F.floor(F.col("u") * cells))
@@ -82,7 +88,7 @@ def schedule(sources: DataFrame, slots: int, n_sources: int) -> DataFrame:
     return prefix(hit, "place", "chunk", F.lit(1).cast("long"), ["id"]).select("place", F.col("before").alias("rank"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, slots: int = SLOTS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     sizes = cut(docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), key.alias("key")), "sizes")
@@ -93,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     known = sizes.join(small_side(sources.select(F.col("source").alias("__s"), "place", "source_size", "target"), 80, n_sources), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     if not total:
         return known.select(*out, F.lit(0).cast("long").alias("taken"))
-    step = max(1, min(block, total // slots))
+    step = max(1, total // slots)
     count = -(-total // step)
     wanted = schedule(sources, count, n_sources)
     digits = max(1, min(7, (max(1, sizes.count() // CHUNK)).bit_length() // 4 + 2))

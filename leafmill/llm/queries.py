@@ -46,14 +46,14 @@ WITH d AS (
 ), c AS (
   SELECT *, sum(target) OVER (ORDER BY place) AS upto, sum(target) OVER () AS whole FROM t
 ), b AS (
-  SELECT max(greatest(1, least(4096, total // 262144))) AS step, max(total) AS total FROM t
+  SELECT max(greatest(1, total // 262144)) AS step, max(total) AS total FROM t
 ), p AS (
   SELECT i::DOUBLE * 0.6180339887498949::DOUBLE - floor(i::DOUBLE * 0.6180339887498949::DOUBLE) AS u
   FROM (SELECT unnest(range((SELECT (total + step - 1) // step FROM b))) AS i)
 ), n AS (
   SELECT place, count(u) * any_value(step) AS words
   FROM (SELECT place, coalesce(lag(upto) OVER (ORDER BY place), 0) / whole AS lo,
-               CASE WHEN upto >= whole THEN 2.0::DOUBLE ELSE upto / whole END AS hi, target FROM c) x
+               CASE WHEN upto >= whole * (1 - 1e-12) THEN 2.0::DOUBLE ELSE upto / whole END AS hi, target FROM c) x
   LEFT JOIN p ON u >= lo AND u < hi AND target > 0, b
   GROUP BY place
 ), o AS (
