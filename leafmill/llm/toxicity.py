@@ -5,11 +5,12 @@ become the lexicon, with log-odds as weights; what is copied from one document t
 once, so that what a copied document happens to say does not count as a mark. A logistic regression over a document's hits
 then gives its score.
 
-Scoring: every word of the text is matched with the lexicon trie, misspelled terms within an edit.
-A hit in quotation marks, in a quoted line or beside a reporting verb counts less than one that
-stands by itself or addresses the reader.
+Scoring: every word of the text is matched with the lexicon trie, misspelled terms of FUZZY letters and
+misspelled stems of FUZZY_STEM letters within an edit, unless clean texts have a word within an edit of
+the term: such a term counts only as it is written. A hit in quotation marks, in a quoted line or
+beside a reporting verb counts less than one that stands by itself or addresses the reader.
 
-Defined cases: null and empty texts have no hits and score as such; without labelled rows of both
+Defined cases: null and empty texts have no hits and score as such; very long texts are scored whole; without labelled rows of both
 kinds the seed lexicon and fixed coefficients apply; labels with a null are skipped, and a document
 with several labels is toxic if one of them says so; repeated rows score alike; extra columns pass
 through ``score_column`` unread.
@@ -20,13 +21,14 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, keeps, trim
@@ -34,6 +36,12 @@ from .levenshtein import Lexicon
 
 #: Labelled rows that fitting takes at most, those with the smallest hashes of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
+#: Bytes of text that fitting takes at most of either kind; a text that would go beyond is left out.
+SAMPLE_BYTES = 64 << 20
+#: Letters from which on a term, or a stem, may be misspelled.
+FUZZY, FUZZY_STEM = 5, 7
+#: What a misspelled term counts of the term. The regression may correct it where training texts have some.
+MISSPELLED = 0.8
 THRESHOLD = 0.3
 SEED = ("idiot", "moron", "stupid", "scum", "worthless", "disgusting")
 SEED_WEIGHT = 3.0
@@ -58,9 +66,10 @@ def tokens(text: str) -> list[str]:
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], benign: list[str], coef: list[float]) -> None:
-        self.weights, self.benign, self.coef = weights, frozenset(benign), coef
-        edits = {t: int(not t.endswith("*") and len(t) >= 5) for t in weights}
+    def __init__(self, weights: dict[str, float], exact: list[str], coef: list[float]) -> None:
+        """exact: terms that are not looked for misspelled."""
+        self.weights, self.exact, self.coef = weights, frozenset(exact), coef
+        edits = {t: int(t not in self.exact and len(t.rstrip("*")) >= (FUZZY_STEM if t.endswith("*") else FUZZY)) for t in weights}
         self.lexicon = Lexicon(edits)
         self._clean: set[str] = set()
         self._hit: dict[str, tuple[str, int]] = {}
@@ -68,7 +77,7 @@ class Model:
     def match(self, token: str) -> tuple[str, int] | None:
         """The best term for a token: of those with the fewest edits the heaviest."""
         for form in dict.fromkeys((token, token.translate(_LEET))):
-            if self.lexicon.possible(form) and form not in self.benign:
+            if self.lexicon.possible(form):
                 found = self.lexicon.search(form)
                 if found:
                     return min(found, key=lambda x: (x[1], -self.weights[x[0]]))
@@ -92,15 +101,19 @@ class Model:
             return []
         low = text.lower()
         spans = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(low)]
+        marks = [i for i, c in enumerate(low) if c == '"'] if '"' in low else []
+        ends = [i for i, c in enumerate(low) if c == "\n"] if "\n" in low else []
         out = []
         for i, (w, a, b) in enumerate(spans):
             if w in here:
                 around = {x[0] for x in spans[max(0, i - WINDOW) : i]} | {x[0] for x in spans[i + 1 : i + 1 + WINDOW]}
-                line = low.rfind("\n", 0, a) + 1
+                n = bisect_left(ends, a)
+                line, stop = ends[n - 1] + 1 if n else 0, ends[n] if n < len(ends) else len(low)
+                open_, shut = bisect_left(marks, line), bisect_left(marks, a)
                 quoted = (
                     low[max(0, a - 1) : a] in _QUOTES and a > 0
                     or low[line : line + 1] == ">"
-                    or low.count('"', line, a) % 2 == 1 and '"' in low[b : b + 400].split("\n", 1)[0]
+                    or (shut - open_) % 2 == 1 and marks[shut:] and marks[shut] < stop
                     or bool(around & _REPORT)
                 )
                 out.append((*self._hit[w], quoted, bool(around & _YOU)))
@@ -109,10 +122,10 @@ class Model:
     def features(self, text: str) -> list[float]:
         plain, quoted, fuzzy, top, terms = 0.0, 0.0, 0.0, 0.0, set()
         for term, edits, said, you in self.hits(text):
-            w = self.weights[term]
+            w = self.weights[term] * (MISSPELLED if edits else 1.0)
             if edits:
                 fuzzy += w
-            elif said:
+            if said:
                 quoted += w
             else:
                 plain += w * (1.25 if you else 1.0)
@@ -125,7 +138,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def to_json(self) -> str:
-        return json.dumps([self.weights, sorted(self.benign), self.coef])
+        return json.dumps([self.weights, sorted(self.exact), self.coef])
 
 
 _models: dict[str, Model] = {}
@@ -230,13 +243,13 @@ def fit_rows(texts: list[str], labels: list[int], odds: float | None = None) ->
         if w not in known:
             weights.setdefault(w, SEED_WEIGHT)
     draft = Model(weights, [], _DEFAULT)
-    benign = [w for w in known if w not in weights and (m := draft.match(w)) is not None and m[1] > 0]
-    draft = Model(weights, benign, _DEFAULT)
+    exact = sorted({t for w in known if draft.lexicon.possible(w) for t, edits in draft.lexicon.search(w) if edits})
+    draft = Model(weights, exact, _DEFAULT)
     x = np.array([draft.features(t) for t in texts])
     y = np.array(labels, float)
     ratio = odds if odds else len(toxic) / len(clean)
     weight = np.where(y == 1, ratio * len(clean) / len(toxic), 1.0)
-    return Model(weights, benign, _regression(x, y, weight))
+    return Model(weights, exact, _regression(x, y, weight))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> DataFrame:
@@ -247,10 +260,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC,
     own = cut(own, "labels")
     counts = own.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     odds = counts[0] / counts[1] if counts[1] else 0.0
-    by = F.xxhash64("doc_id")
-    picked = own.where("toxic = 1").orderBy(by, "doc_id").limit(toxic).unionByName(own.where("toxic = 0").orderBy(by, "doc_id").limit(clean))
+    by = [F.xxhash64("doc_id"), "doc_id"]
+    picked = own.where("toxic = 1").orderBy(*by).limit(toxic).unionByName(own.where("toxic = 0").orderBy(*by).limit(clean))
     picked = cut(picked, "sample")  # at most toxic + clean rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", F.lit(float(odds)).alias("odds"))
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sizes = found.groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(*by))  # at most toxic or clean rows of three numbers
+    within = sizes.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id")
+    return found.join(F.broadcast(within), "doc_id").select("text", "toxic", F.lit(float(odds)).alias("odds"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

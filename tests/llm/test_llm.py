@@ -410,32 +410,98 @@ def test_toxicity_odd(odd, none, labels):
     assert toxicity.keep_clean(odd, labels.where("false")).columns == odd.columns
 
 
-def test_levenshtein_automaton_against_dynamic_programming():
-    from leafmill.llm.levenshtein import Automaton
+def _distance(a, b):
+    """Edits with neighbours that change places, by dynamic programming."""
+    d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row = _next(row, x, b, i)
-        return row[-1]
 
-    def _next(row, x, b, i):
-        out = [i]
-        for j, y in enumerate(b, 1):
-            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
-        return out
+def test_levenshtein_automaton_against_dynamic_programming():
+    from leafmill.llm.levenshtein import Automaton
 
     rng = np.random.default_rng(3)
-    for _ in range(300):
+    for _ in range(500):
         a, b = ("".join(rng.choice(list("abc"), rng.integers(1, 7))) for _ in range(2))
-        auto, state = Automaton(a, 2), None
+        auto = Automaton(a, 2)
         state = auto.start
         for c in b:
             state = auto.step(state, c)
-        d = distance(a, b)
+        d = _distance(a, b)
         assert auto.edits(state) == (d if d <= 2 else None)
 
 
+def test_lexicon_against_every_term():
+    from leafmill.llm.levenshtein import Lexicon
+
+    rng = np.random.default_rng(7)
+    word = lambda n, m: "".join(rng.choice(list("abc"), rng.integers(n, m)))
+    terms = {word(2, 9) + "*" * int(rng.integers(0, 2)): 0 for _ in range(25)}
+    terms = {t: int(len(t.rstrip("*")) >= 4) for t in terms}
+    lexicon = Lexicon(terms)
+    for _ in range(800):
+        w = word(1, 11)
+        want = {}
+        for t, k in terms.items():
+            ends = range(len(w) + 1) if t.endswith("*") else [len(w)]
+            if (d := min(_distance(w[:e], t.rstrip("*")) for e in ends)) <= k:
+                want[t] = d
+        assert dict(lexicon.search(w)) == want and (lexicon.possible(w) or not want)
+
+
+def _toxic_rows(n=400):
+    """Two words and a family of words mark toxic texts; the rest is drawn from one vocabulary."""
+    rng = np.random.default_rng(8)
+    plain = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "nu") for b in ("ras", "ten", "vol", "dim") for c in ("a", "e", "or", "ist")]
+    rows = []
+    for i in range(n):
+        words = list(rng.choice(plain, 60))
+        if i % 4 == 0:
+            for w in rng.choice(["grobiate", "snorfel", "blafkertig", "blafkerung", "blafkeron", "blafkerix", "blafkerus"], 3):
+                words.insert(int(rng.integers(0, 60)), w)
+        rows.append((i, " ".join(words), 0, int(i % 4 == 0)))
+    return rows, plain
+
+
+def test_toxicity_finds_planted_misspellings(spark):
+    rows, plain = _toxic_rows()
+    n, base = len(rows), " ".join(plain)
+    bad = ["grobaite", "grobiat", "gorbiate", "grobixate", "snorfle", "snofrel", "blafketrig and blakferung", "blafkxrung blafekron"]
+    planted = [(10000 + 4 * i, f"{base} {w} {w} {base}", 1) for i, w in enumerate(bad)] + [(20000, base, 0), (20001, f"{base} grobia snor blaf", 0), (20002, None, 0), (20003, "", 0)]
+    docs = spark.createDataFrame([(d, t) for d, t, *_ in rows] + [(d, t) for d, t, _ in planted], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, labels).collect()}
+    assert len(got) == n + len(planted) and {d: got[d] for d, _, y in planted} == {d: y for d, _, y in planted}
+    truth = [(got[d], y) for d, _, _, y in rows]
+    assert sum(x == y for x, y in truth) >= 0.98 * n
+
+
+def test_toxicity_context_by_definition():
+    model = toxicity.Model({"snorfel": 4.0}, [], toxicity._DEFAULT)
+    quoted = lambda t: [q for *_, q, _ in model.hits(t)]
+    far = "x " * 5000
+    assert quoted(f'plain snorfel here') == [False] and quoted(f'a "{far}snorfel {far}" b') == [True]
+    assert quoted(f'a "b" {far} snorfel {far} c') == [False] and quoted('a "b snorfel\n" c') == [False]
+    assert quoted("> a snorfel\nsnorfel") == [True, False] and quoted("they called it snorfel") == [True]
+    assert [y for *_, y in model.hits("you snorfel")] == [True]
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
+    rows, _ = _toxic_rows(80)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3000)
+    docs = spark.createDataFrame([(d, t) for d, t, *_ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.toxic] += len(r.text)
+    assert set(sizes) == {0, 1} and all(2000 < v <= 3000 for v in sizes.values())
+
+
 def test_quality_rules_odd(odd, none):
     got = quality_rules.judge(odd).collect()
     assert len(got) == len(ODD) and quality_rules.judge(none).count() == 0
