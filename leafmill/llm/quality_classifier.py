@@ -3,27 +3,34 @@
 The text view sees what is written: hashed byte trigrams, case kept, and whether a word repeats the
 one before. The metadata view sees what stands about the page: source, language, its length and
 layout (lines, words to a line, shares of letters, capitals, digits, punctuation and space). Each is a
-naive Bayes classifier over hashed features. In every round each view scores a pool of unlabelled
-documents, and the labels it is surest of go to the other view's training rows. In the end each
+naive Bayes classifier over hashed features. In every round each view scores all unlabelled
+documents, and those it is sure of become training rows of the other view with its label. In the end each
 view is calibrated by logistic regression on labelled rows that it was not trained on, a second
 regression on the same rows combines the two, and all documents are scored.
 
-Fitting uses bounded samples, those with the smallest hashes of doc_id: LABELLED labelled rows and
-POOL others. Scoring covers every row and whole text.
+Naive Bayes is sums of features by label, so a round is one pass over the documents that sums them
+where they are: a task sends its sums for TEXT_CELLS + META_CELLS cells, whatever it has read. The
+pseudo-labelled documents of a label weigh as much as the labelled ones together at most.
 
-Defined cases: null and empty texts have no trigrams and are scored by metadata and length; null source
-or language is a value of its own; without labelled rows of both kinds all scores are 0.5; labels
-with a null are skipped, and a document with several labels takes the least; repeated rows score alike;
-an empty table gives an empty table; extra columns are not read.
+Fitting takes LABELLED labelled rows at most, those with the smallest hashes of doc_id; pseudo-labels
+and scores cover every other row and whole texts.
+
+Defined cases: null and empty texts have no trigrams and are scored by metadata and length; very long
+texts count like others, by shares of their trigrams; null source or language is a value of its own;
+without labelled rows of both kinds, or where none of a kind falls to the training or to the
+calibrating part, all scores are 0.5; labels with a null are skipped, and a document with several
+labels takes the least; repeated rows score alike; an empty table gives an empty table; extra columns
+are not read.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,85 +38,102 @@ from pyspark.sql import functions as F
 from . import shingles as sh
 from .common import cut, trim
 
-#: Rows that fitting takes at most.
-LABELLED, POOL = 8000, 8000
-ROUNDS = 4
-#: A round moves this share of the pool, and only labels of this probability or more.
-SHARE, SURE = 0.1, 0.9
+#: Labelled rows that fitting takes at most.
+LABELLED = 8000
+#: Passes over the unlabelled documents, and the probability from which on a label is passed on.
+ROUNDS, SURE = 2, 0.9
 TEXT_CELLS, META_CELLS = 1 << 16, 1 << 10
+#: What one repeated word counts, in trigrams; it has the last text cell.
+AGAIN = 4
 THRESHOLD = 0.5
 SMOOTH = 0.1
 _U = np.uint64
+_ALL = TEXT_CELLS + META_CELLS
 
+_CLASS = np.zeros(256, np.int64)
+for _group, _bytes in ((1, b"abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))), (2, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (3, b"0123456789"), (4, b" \t\n\r\x0b\x0c")):
+    _CLASS[list(_bytes)] = _group
 
-def text_cells(data: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cells of a text's byte trigrams and repeated words, with their shares of all."""
-    found = np.zeros(0, np.int64)
-    if len(data) >= 3:
-        d = data.astype(_U)
-        found = (sh.mix((d[:-2] << _U(16)) | (d[1:-1] << _U(8)) | d[2:]) % _U(TEXT_CELLS - 1)).astype(np.int64)
-    again = int((words[1:] == words[:-1]).sum()) if len(words) > 1 else 0
-    cells, counts = np.unique(found, return_counts=True)
-    if again:
-        cells, counts = np.append(cells, TEXT_CELLS - 1), np.append(counts, 4 * again)
-    return cells, counts / max(1, counts.sum())
 
+@dataclass
+class Features:
+    """Of n rows: every trigram's row and cell, the repeated words and the weight of all trigrams and
+    repeated words of each row, the metadata cells (n, features), and the bytes."""
 
-def _bucket(x: float, base: float) -> int:
-    return int(np.log(max(x, 0) + 1) / np.log(base))
+    n: int
+    row: np.ndarray
+    cell: np.ndarray
+    again: np.ndarray
+    total: np.ndarray
+    meta: np.ndarray
+    size: np.ndarray
 
 
-_CLASS = np.zeros(256, np.int64)
-for _group, _bytes in ((1, b"abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))), (2, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (3, b"0123456789"), (4, b" \t\n\r\x0b\x0c")):
-    _CLASS[list(_bytes)] = _group
+def _log(x: np.ndarray, base: float) -> np.ndarray:
+    return (np.log1p(x) / np.log(base) + 1e-9).astype(np.int64)
 
 
-def meta_cells(data: np.ndarray, n_words: int, source: str | None, lang: str | None) -> np.ndarray:
-    """One cell for each metadata value."""
-    n = max(1, len(data))
-    kinds = np.bincount(_CLASS[data], minlength=5)
-    lines = int((data == 10).sum()) + 1
+def meta_cells(size: np.ndarray, n_words: np.ndarray, lines: np.ndarray, kinds: np.ndarray, sources: list, langs: list) -> np.ndarray:
+    """One cell for each metadata value; kinds: bytes of each class."""
+    name = lambda x: -1 if x is None else zlib.crc32(str(x).encode())
     values = [
-        f"source={source}", f"lang={lang}", f"size={_bucket(len(data), 2)}", f"words={_bucket(n_words, 2)}", f"lines={_bucket(lines, 2)}",
-        f"line={_bucket(n_words / lines, 1.7)}", f"word={_bucket(len(data) / max(1, n_words), 1.3)}",
-        *[f"kind{k}={int(20 * (kinds[k] / n) ** 0.5)}" for k in range(5)],
+        np.array([name(x) for x in sources], np.int64), np.array([name(x) for x in langs], np.int64), _log(size, 2), _log(n_words, 2), _log(lines, 2),
+        _log(n_words / lines, 1.7), _log(size / np.maximum(1, n_words), 1.3),
+        *[(20 * np.sqrt(kinds[:, k] / np.maximum(1, size)) + 1e-9).astype(np.int64) for k in range(5)],
     ]
-    return (pd.util.hash_array(np.array(values, object), categorize=False) % np.uint64(META_CELLS)).astype(np.int64)
+    coded = [(v + 1).astype(_U) + (_U(i + 1) << _U(40)) for i, v in enumerate(values)]
+    return (sh.mix(np.column_stack(coded)) % _U(META_CELLS)).astype(np.int64)
 
 
-def views(texts: pa.Array, sources: list, langs: list) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], np.ndarray, int]]:
-    """(text cells and shares, metadata cells, bytes) of every row."""
+def features(texts: pa.Array, sources: list, langs: list) -> Iterator[tuple[int, Features]]:
+    """(first row, features) of runs of rows."""
     for at, ends, data in sh.chunks(texts):
+        n, size = len(ends) - 1, np.diff(ends)
         h, first = sh.words(ends, data)
-        for i in range(len(ends) - 1):
-            own, w = data[ends[i] : ends[i + 1]], h[first[i] : first[i + 1]]
-            yield text_cells(own, w), meta_cells(own, len(w), sources[at + i], langs[at + i]), len(own)
+        counts = np.diff(first)
+        of_word = np.repeat(np.arange(n), counts)
+        twice = (h[1:] == h[:-1]) & (of_word[1:] == of_word[:-1]) if len(h) > 1 else np.zeros(0, bool)
+        again = AGAIN * np.bincount(of_word[1:][twice], minlength=n) if len(h) > 1 else np.zeros(n, np.int64)
+        of_byte = np.repeat(np.arange(n), size)
+        row = cell = np.zeros(0, np.int64)
+        if len(data) >= 3:
+            inside = of_byte[:-2] == of_byte[2:]
+            d = data.astype(_U)
+            cell = (sh.mix(((d[:-2] << _U(16)) | (d[1:-1] << _U(8)) | d[2:])[inside]) % _U(TEXT_CELLS - 1)).astype(np.int64)
+            row = of_byte[:-2][inside]
+        kinds = np.bincount(of_byte * 5 + _CLASS[data], minlength=5 * n).reshape(n, 5)
+        lines = np.bincount(of_byte[data == 10], minlength=n) + 1
+        meta = meta_cells(size, counts, lines, kinds, sources[at : at + n], langs[at : at + n])
+        yield at, Features(n, row, cell, again, np.bincount(row, minlength=n) + again, meta, size)
 
 
 class View:
-    """Naive Bayes over hashed cells: log-odds of each cell, and a calibration."""
+    """Log-odds of each cell, and a calibration."""
 
     def __init__(self, odds: np.ndarray, coef: list[float] | None = None) -> None:
         self.odds, self.coef = odds, coef or [0.0, 1.0, 0.0]
 
-    def raw(self, cells: np.ndarray, shares: np.ndarray | None, size: int) -> tuple[float, float]:
-        x = self.odds[cells]
-        return float(x.sum() if shares is None else (x * shares).sum() * 10), float(np.log1p(size) / 10)
+    def raw(self, f: Features) -> np.ndarray:
+        """(n, 3): a constant, the evidence, the size."""
+        if len(self.odds) == META_CELLS:
+            x = self.odds[f.meta].sum(axis=1)
+        else:
+            x = 10 * (np.bincount(f.row, self.odds[f.cell], f.n) + f.again * self.odds[-1]) / np.maximum(1, f.total)
+        return np.column_stack([np.ones(f.n), x, np.log1p(f.size) / 10])
 
-    def logit(self, raw: tuple[float, float]) -> float:
-        z = self.coef[0] + self.coef[1] * raw[0] + self.coef[2] * raw[1]
-        return max(-12.0, min(12.0, z))
+    def logit(self, raw: np.ndarray) -> np.ndarray:
+        return np.clip(raw @ np.array(self.coef), -12, 12)
 
 
 class Model:
     def __init__(self, text: View, meta: View, coef: list[float]) -> None:
         self.text, self.meta, self.coef = text, meta, coef
 
-    def score(self, text: tuple[np.ndarray, np.ndarray], meta: np.ndarray, size: int) -> tuple[float, float, float]:
+    def score(self, f: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of good quality: text view, metadata view, both."""
-        a, b = self.text.logit(self.text.raw(*text, size)), self.meta.logit(self.meta.raw(meta, None, size))
+        a, b = self.text.logit(self.text.raw(f)), self.meta.logit(self.meta.raw(f))
         both = self.coef[0] + self.coef[1] * a + self.coef[2] * b
-        return sigmoid(a), sigmoid(b), sigmoid(max(-30.0, min(30.0, both)))
+        return sigmoid(a), sigmoid(b), sigmoid(np.clip(both, -30, 30))
 
     def to_json(self) -> str:
         return json.dumps([[[round(float(x), 5) for x in v.odds], v.coef] for v in (self.text, self.meta)] + [self.coef])
@@ -142,122 +166,121 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     return [round(float(b), 6) for b in beta]
 
 
-class Rows:
-    """A view's features of many rows, one after the other."""
+def _count(packed: str | None):
+    """Sums of features by label: (place, mass), where place is label * (all cells) + cell, text cells
+    first. Without a model rows count under their own ``quality``, with one under what the other view
+    says of them, if it is sure."""
 
-    def __init__(self, cells: list[np.ndarray], shares: list[np.ndarray] | None, sizes: np.ndarray, width: int) -> None:
-        self.row = np.repeat(np.arange(len(cells)), [len(c) for c in cells]).astype(np.int32)
-        self.cell = np.concatenate(cells).astype(np.int32)
-        self.share = np.concatenate(shares).astype(np.float32) if shares is not None else None
-        self.n, self.width, self.size = len(cells), width, np.log1p(sizes) / 10
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_from_json(packed) if packed else None
+        mass = np.zeros(2 * _ALL)
+        for b in batches:
+            for at, f in features(b.column("text"), b.column("source").to_pylist(), b.column("lang").to_pylist()):
+                if model:
+                    by_text, by_meta, _ = model.score(f)
+                    own = [np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1)) for p in (by_meta, by_text)]
+                else:
+                    own = [b.column("quality").to_numpy()[at : at + f.n]] * 2
+                for label in (0, 1):
+                    w = (own[0] == label) / np.maximum(1, f.total)
+                    base = label * _ALL
+                    mass[base : base + TEXT_CELLS] += np.bincount(f.cell, w[f.row], TEXT_CELLS)
+                    mass[base + TEXT_CELLS - 1] += (w * f.again).sum()
+                    mass[base + TEXT_CELLS : base + _ALL] += np.bincount(f.meta[own[1] == label].ravel(), minlength=META_CELLS)
+        at = np.flatnonzero(mass)
+        yield from pa.Table.from_arrays([pa.array(at.astype(np.int32)), pa.array(mass[at])], names=["place", "mass"]).to_batches(max_chunksize=10_000)
+        trim()
 
-    def train(self, y: np.ndarray) -> View:
-        """y: 1, 0, or -1 for rows that are not in the training set."""
-        odds = np.zeros(self.width)
-        for label, sign in ((1, 1.0), (0, -1.0)):
-            own = (y == label)[self.row]
-            mass = np.bincount(self.cell[own], self.share[own] if self.share is not None else None, self.width)
-            scale = max(1e-9, mass.sum())
-            odds += sign * np.log((mass + SMOOTH * scale / (scale + self.width)) / (scale * (1 + SMOOTH)))
-        return View(np.clip(odds, -6, 6))
+    return run
 
-    def raw(self, view: View) -> np.ndarray:
-        x = view.odds[self.cell]
-        total = np.bincount(self.row, x if self.share is None else x * self.share * 10, self.n)
-        return np.column_stack([np.ones(self.n), total, self.size])
 
+def counts(rows: DataFrame, model: Model | None = None) -> np.ndarray:
+    """(label, cell) sums over all rows; 2 * (TEXT_CELLS + META_CELLS) numbers come to the driver."""
+    sums = rows.mapInArrow(_count(model.to_json() if model else None), "place int, mass double").groupBy("place").agg(F.sum("mass").alias("mass")).toPandas()
+    out = np.zeros(2 * _ALL)
+    out[sums["place"].to_numpy(int)] = sums["mass"].to_numpy(float)
+    return out.reshape(2, _ALL)
 
-def co_train(text: Rows, meta: Rows, y: np.ndarray, spare: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """y: 1, 0, or -1 for the pool. spare: labelled rows that only calibrate."""
-    fit = (y >= 0) & ~spare
-    if not all(((y == k) & part).any() for k in (0, 1) for part in (fit, spare)):
-        return EVEN
-    share = float((y[fit] == 1).mean())
-    marks = [np.where(fit, y, -1), np.where(fit, y, -1)]
-    both = (text, meta)
-    for turn in range(rounds + 1):
-        trained = [rows.train(m) for rows, m in zip(both, marks)]
-        raws = [rows.raw(v) for rows, v in zip(both, trained)]
-        for v, raw in zip(trained, raws):
-            v.coef = regression(raw[spare], y[spare])
-        if turn == rounds:
-            break
-        moved = max(1, int(SHARE * (y < 0).sum()))
-        for me, other in ((0, 1), (1, 0)):
-            p = sigmoid(raws[me] @ np.array(trained[me].coef))
-            free = np.flatnonzero((y < 0) & (marks[other] < 0))
-            order = free[np.argsort(p[free], kind="stable")]
-            low, high = order[: max(1, int(moved * (1 - share)))], order[::-1][: max(1, int(moved * share))]
-            marks[other][low[p[low] <= 1 - SURE]] = 0
-            marks[other][high[p[high] >= SURE]] = 1
-    logits = np.column_stack([np.ones(len(y)), *[np.clip(raw @ np.array(v.coef), -12, 12) for v, raw in zip(trained, raws)]])
-    return Model(trained[0], trained[1], regression(logits[spare], y[spare]))
-
-
-def samples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that fitting takes, with ``quality`` 1, 0 or -1 (pool). Labels are learnt only where
-    crc32 of the doc_id as text, modulo 4, is not 2."""
-    may = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
-    own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    own = cut(own, "quality-labels")
-    by = [F.xxhash64("doc_id"), "doc_id"]
-    picked = own.where(may).orderBy(*by).limit(LABELLED)
-    others = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().join(own.where(may).select("doc_id"), "doc_id", "left_anti")
-    picked = cut(picked.unionByName(others.orderBy(*by).limit(POOL).withColumn("quality", F.lit(-1))), "quality-sample")
-    return docs.join(F.broadcast(picked), "doc_id")  # at most LABELLED + POOL rows of two numbers
 
+def train(labelled: np.ndarray, pseudo: np.ndarray | None = None) -> tuple[View, View]:
+    """The text and the metadata view from sums of features; pseudo weighs as much as labelled at most."""
+    out = []
+    for part in (slice(0, TEXT_CELLS), slice(TEXT_CELLS, _ALL)):
+        odds = 0.0
+        for label, sign in ((1, 1.0), (0, -1.0)):
+            mass = labelled[label, part].copy()
+            if pseudo is not None and (n := pseudo[label, part].sum()):
+                mass += pseudo[label, part] * min(1.0, mass.sum() / n)
+            scale = max(1e-9, mass.sum())
+            odds = odds + sign * np.log((mass + SMOOTH * scale / (scale + len(mass))) / (scale * (1 + SMOOTH)))
+        out.append(View(np.clip(odds, -6, 6)))
+    return out[0], out[1]
 
-_FEATURES = "quality int, spare boolean, size long, cells binary, shares binary, meta binary"
 
+def _raws(packed: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_from_json(packed)
+        for b in batches:
+            for at, f in features(b.column("text"), b.column("source").to_pylist(), b.column("lang").to_pylist()):
+                t, m = model.text.raw(f), model.meta.raw(f)
+                yield pa.RecordBatch.from_arrays([b.column("quality").slice(at, f.n), *[pa.array(x) for x in (t[:, 1], m[:, 1], t[:, 2])]], names=["quality", "t", "m", "s"])
+        trim()
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [[], [], [], []]
-        for (cells, shares), meta, size in views(b.column("text"), b.column("source").to_pylist(), b.column("lang").to_pylist()):
-            for x, v in zip(out, (size, cells.astype("<i4").tobytes(), shares.astype("<f4").tobytes(), meta.astype("<i4").tobytes())):
-                x.append(v)
-        yield pa.RecordBatch.from_arrays([b.column("quality"), b.column("spare"), pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=["quality", "spare", "size", "cells", "shares", "meta"])
-    trim()
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Features are made where the sampled rows are; one task fits the models on them."""
+def calibrated(views: tuple[View, View], spare: DataFrame) -> Model:
+    """A model of the two views; spare has a part of LABELLED rows, of which four numbers each come here."""
+    plain = Model(*views, [0.0, 0.0, 0.0])
+    rows = spare.mapInArrow(_raws(plain.to_json()), "quality int, t double, m double, s double").toPandas().sort_values(["quality", "t", "m", "s"])
+    y, one = rows["quality"].to_numpy(float), np.ones(len(rows))
+    logits = [one]
+    for view, c in zip(views, "tm"):
+        raw = np.column_stack([one, rows[c], rows["s"]])
+        view.coef = regression(raw, y)
+        logits.append(view.logit(raw))
+    return Model(*views, regression(np.column_stack(logits), y))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in t.column(c)]
-        sizes = t.column("size").to_numpy()
-        text = Rows(read("cells", "<i4"), read("shares", "<f4"), sizes, TEXT_CELLS)
-        meta = Rows(read("meta", "<i4"), None, sizes, META_CELLS)
-        model = co_train(text, meta, t.column("quality").to_numpy(), t.column("spare").to_numpy(zero_copy_only=False).astype(bool))
-        yield pa.RecordBatch.from_arrays([pa.array([model.to_json()])], names=["model"])
-        trim()
 
-    own = samples(docs.select("doc_id", "text", "source", "lang"), labels)
-    spare = (F.col("quality") >= 0) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0)
-    rows = own.select("doc_id", "quality", spare.alias("spare"), "text", "source", "lang")
-    feats = cut(rows.drop("doc_id").mapInArrow(_features, _FEATURES), "quality-features")
-    found = feats.coalesce(1).sortWithinPartitions("quality", "cells").mapInArrow(run, "model string").collect()
-    return model_from_json(found[0][0]) if found else EVEN
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, quality and spare of the labelled rows that fitting takes. Labels are learnt only where
+    crc32 of the doc_id as text, modulo 4, is not 2."""
+    may = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & may).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    spare = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0
+    return cut(picked.where("quality IN (0, 1)").withColumn("spare", spare), "quality-sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
+    """docs: doc_id, text, source, lang."""
+    picked = F.broadcast(sample(docs, labels))  # at most LABELLED rows of three values
+    own = cut(docs.join(picked, "doc_id"), "labelled-documents")
+    kinds = {(r.spare, r.quality) for r in own.select("spare", "quality").distinct().collect()}
+    if len(kinds) < 4:
+        return EVEN
+    spare, pool = own.where("spare"), docs.join(picked, "doc_id", "left_anti")
+    labelled = counts(own.where("NOT spare"))
+    model = calibrated(train(labelled), spare)
+    for _ in range(rounds):
+        model = calibrated(train(labelled, counts(pool, model)), spare)
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, text_score, meta_score, score, predicted of every document; scores are
     probabilities of good quality."""
-    model = fit(docs, labels)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+    model = fit(rows, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model.to_json())  # TEXT_CELLS + META_CELLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model_from_json(shared.value)
         for b in batches:
-            found = [own.score(*v) for v in views(b.column("text"), b.column("source").to_pylist(), b.column("lang").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([x[k] for x in found], pa.float64()) for k in range(3)]], names=["doc_id", "text_score", "meta_score", "score"])
+            for at, f in features(b.column("text"), b.column("source").to_pylist(), b.column("lang").to_pylist()):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, f.n), *map(pa.array, own.score(f))], names=["doc_id", "text_score", "meta_score", "score"])
         trim()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     out = rows.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

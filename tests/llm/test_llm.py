@@ -392,6 +392,85 @@ def test_quality_classifier_held_out(spark):
     assert ((got.score >= 0.5) == (got.quality == 1)).mean() > 0.97
 
 
+def _quality_by_definition(docs, labels, held):
+    """Co-training row by row, with dictionaries for the cells."""
+    q, mix = quality_classifier, quality_classifier.sh.mix
+    number = lambda x: np.array([x], np.uint64)
+
+    def row(text, source, lang):
+        data, w = (text or "").encode(), (text or "").encode().split()
+        cells = Counter(int(mix(number(data[i] << 16 | data[i + 1] << 8 | data[i + 2]))[0] % (q.TEXT_CELLS - 1)) for i in range(len(data) - 2))
+        if n := sum(a == b for a, b in zip(w, w[1:])):
+            cells[q.TEXT_CELLS - 1] = q.AGAIN * n
+        total = max(1, sum(cells.values()))
+        kinds = np.bincount([q._CLASS[x] for x in data], minlength=5)[None, :] if data else np.zeros((1, 5), int)
+        meta = q.meta_cells(np.array([len(data)]), np.array([len(w)]), np.array([data.count(b"\n") + 1]), kinds, [source], [lang])[0].tolist()
+        return {c: v / total for c, v in cells.items()}, Counter(meta), np.log1p(len(data)) / 10
+
+    rows = {d: row(*x) for d, *x in docs}
+    learn = {d: y for d, y in labels.items() if y is not None and d not in held}
+    spare = {d for d in learn if held[None](d)}
+
+    def odds(view, marks):
+        out = {}
+        mass = [Counter(), Counter()]
+        for d, (y, weight) in marks.items():
+            for c, v in rows[d][view].items():
+                mass[y][c] += v * weight
+        width = (q.TEXT_CELLS, q.META_CELLS)[view]
+        scale = [sum(m.values()) for m in mass]
+        p = lambda y, c: np.log((mass[y][c] + q.SMOOTH * scale[y] / (scale[y] + width)) / (scale[y] * (1 + q.SMOOTH)))
+        for c in {*mass[0], *mass[1], *(c for d in rows for c in rows[d][view])}:
+            out[c] = float(np.clip(p(1, c) - p(0, c), -6, 6))
+        return out
+
+    def raw(view, o, d):
+        cells = rows[d][view]
+        return [1.0, sum(o[c] * v for c, v in cells.items()) * (10 if view == 0 else 1), rows[d][2]]
+
+    base = {d: (y, 1.0) for d, y in learn.items() if d not in spare}
+    marks = [dict(base), dict(base)]
+    order = sorted(spare)
+    y = np.array([learn[d] for d in order], float)
+    for turn in range(q.ROUNDS + 1):
+        logits, coefs = {}, []
+        for view in (0, 1):
+            o = odds(view, marks[view])
+            coef = q.regression(np.array([raw(view, o, d) for d in order]), y)
+            logits[view] = {d: float(np.clip(np.dot(raw(view, o, d), coef), -12, 12)) for d in rows}
+        if turn == q.ROUNDS:
+            break
+        for me, other in ((0, 1), (1, 0)):
+            sure = {d: int(p >= q.SURE) for d in rows if d not in learn and not 1 - q.SURE < (p := q.sigmoid(logits[me][d])) < q.SURE}
+            marks[other] = dict(base)
+            for label in (0, 1):
+                mine = sum(v for d, (l, _) in base.items() if l == label for v in rows[d][other].values())
+                new = sum(v for d, l in sure.items() if l == label for v in rows[d][other].values())
+                weight = min(1.0, mine / new) if new else 1.0
+                marks[other] |= {d: (label, weight) for d, l in sure.items() if l == label}
+    coef = q.regression(np.array([[1.0, logits[0][d], logits[1][d]] for d in order]), y)
+    return {d: float(q.sigmoid(coef[0] + coef[1] * logits[0][d] + coef[2] * logits[1][d])) for d in rows}
+
+
+def test_quality_classifier_by_definition(spark):
+    rng = np.random.default_rng(9)
+    good, bad = PROSE, "CLICK here now!!! $$$ win 100% free 999 prize".split()
+    docs = []
+    for d in range(160):
+        words = list(rng.choice(good if d % 2 else bad, int(rng.integers(5, 60)))) + list(rng.choice(good + bad, 10))
+        docs.append((d, ("\n" if d % 3 else " ").join(words), f"s{(d + d // 7) % 2 + d % 3 * 2}", "en" if d % 5 else None))
+    docs += [(160, None, "s1", "en"), (161, "", None, None), (162, "ab", "s0", "de"), (163, "é" * 5000, "s3", "fr")]
+    df = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, source string, lang string, quality string").repartition(3)
+    labels = spark.createDataFrame([(d, d % 2) for d in range(0, 100)], "doc_id long, quality int")
+    picked = {r.doc_id: r.spare for r in quality_classifier.sample(df, labels).collect()}
+    held = {d for d in range(100) if zlib.crc32(str(d).encode()) % 4 == 2}
+    assert picked.keys() == set(range(100)) - held
+    want = _quality_by_definition(docs, {d: d % 2 for d in range(100)}, {**dict.fromkeys(held), None: lambda d: picked[d]})
+    got = {r.doc_id: r.score for r in quality_classifier.score(df, labels).collect()}
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 1e-3
+    assert np.mean([(got[d] >= 0.5) == (d % 2 == 1) for d in range(160)]) > 0.9
+
+
 def test_quality_classifier_odd(odd, none, labels):
     assert quality_classifier.score(odd, labels).count() == len(ODD) and quality_classifier.score(none, labels).count() == 0
     assert {r.score for r in quality_classifier.score(odd, labels.where("false")).collect()} == {0.5}
