@@ -31,8 +31,9 @@ from .common import cut, small_side
 
 #: Smaller payloads are always written in full.
 MIN_REVISIT_BYTES = 1000
-#: Records of one archive file at most.
-FILE_RECORDS = 30_000
+#: Bytes of payload in one archive file, by the mean page; a file is read back as a whole. No file has
+#: more than a task writes, which reads FILE_BYTES or so itself.
+FILE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CRLF = b"\r\n"
@@ -93,8 +94,10 @@ def _split(url: str) -> tuple[str, str]:
         return "", "/"
 
 
-def write(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
+def write(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Archive (page_id, url, html). Of equal payloads the one with the largest page_id is stored."""
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0.0
+    per_file = 3 * max(1, int(file_bytes / (mean + 1000)))  # three records a page, with 1000 bytes of heads
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     large = own.where(F.octet_length("html") >= min_revisit_bytes)
     stored = large.groupBy("digest").agg(F.max("page_id").alias("stored"), F.count(F.lit(1)).alias("n"))
@@ -103,7 +106,7 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTE
     revisit = F.col("stored").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("stored"))
     rows = marked.select("page_id", "url", "html", "digest", revisit.alias("revisit"))
     members = rows.mapInArrow(_build(uuid.uuid4().hex), "value binary")
-    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _members(data: bytes) -> Iterator[bytes]:
