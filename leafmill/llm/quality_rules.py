@@ -5,7 +5,7 @@ counted per host, the failing rates are shrunk with a beta prior fitted to all h
 Bayes estimate: hosts with few documents move towards the corpus mean), and a host whose shrunk
 rate passes the rule's limit loses all its documents.
 
-Defined cases: a null text has no words; an empty host table has no prior and rejects nobody; a null
+Defined cases: a null text has no words; very long texts are measured whole; hosts with equal rates fare alike; an empty host table has no prior and rejects nobody; a null
 host is a host of its own; repeated rows are measured and counted one by one; extra columns are
 not read.
 """
@@ -19,8 +19,9 @@ from .common import SPACE, cut, small_side, text_or_empty, words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = r"[#*$%&|<>]"
-#: A host is rejected for a rule if its shrunk failing rate is above this share of documents.
-HOST_LIMITS = {"base": 0.8, "symbols": 0.9, "dup_lines": 0.9, "word_length": 0.9}
+#: A host is rejected for a rule if its shrunk failing rate is above this share of documents: when more of
+#: them fail than not, by what the corpus lets expect of a host of its size.
+HOST_LIMITS = {"base": 0.5, "symbols": 0.5, "dup_lines": 0.5, "word_length": 0.5}
 
 
 def dup_lines(text: Column) -> Column:

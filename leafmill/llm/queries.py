@@ -191,8 +191,8 @@ WITH d AS (
          CASE WHEN v4 > 0 THEN greatest(m4 * (1 - m4) / v4 - 1, 0) END AS s4
   FROM h, p
 ), v AS (
-  SELECT host, coalesce((k1 + m1 * s1) / (n + s1), m1) > 0.8 OR coalesce((k2 + m2 * s2) / (n + s2), m2) > 0.9
-      OR coalesce((k3 + m3 * s3) / (n + s3), m3) > 0.9 OR coalesce((k4 + m4 * s4) / (n + s4), m4) > 0.9 AS bad
+  SELECT host, coalesce((k1 + m1 * s1) / (n + s1), m1) > 0.5 OR coalesce((k2 + m2 * s2) / (n + s2), m2) > 0.5
+      OR coalesce((k3 + m3 * s3) / (n + s3), m3) > 0.5 OR coalesce((k4 + m4 * s4) / (n + s4), m4) > 0.5 AS bad
   FROM s
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

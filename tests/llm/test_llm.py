@@ -243,6 +243,24 @@ def test_warc_odd(spark, tmp_path):
     assert warc.captures(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_files_roll_by_bytes(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    pages = [(k, "http://a/", rng.bytes(4000).hex()) for k in range(60)]
+    df = spark.createDataFrame([(*r, "x") for r in pages], "page_id long, url string, html string, payload string").coalesce(1)
+    warc.write(df, str(tmp_path / "w"), file_bytes=50_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 8 and max(sizes) < 60_000
+    assert {r.page_id: r.payload_digest for r in warc.digests(warc.captures(spark, str(tmp_path / "w"))).collect()} == {k: hashlib.sha1(h.encode()).hexdigest() for k, _, h in pages}
+
+
+def test_warc_repeated_rows(spark, tmp_path):
+    big = "<p>x</p>" * 300
+    df = spark.createDataFrame([(1, "http://a/", big), (1, "http://a/", big), (0, "http://b/", big), (2, None, None)], "page_id long, url string, html string")
+    warc.write(df, str(tmp_path / "w"))
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.digests(warc.captures(spark, str(tmp_path / "w"))).collect())
+    assert got == [(0, "revisit", 1), (1, "response", None), (1, "response", None), (2, "response", None)]
+
+
 def test_lm_scoring_by_definition(spark):
     texts = [(1, "a b a b c", True), (2, "a b d", False), (3, "c c c", None), (4, None, True)]
     rows = spark.createDataFrame(texts, "doc_id long, text string, target boolean")
@@ -587,6 +605,21 @@ def test_quality_rules_odd(odd, none):
     assert all(r.base_failed for r in got if r.n_words < 50) and not any(r.kept and r.base_failed for r in got)
 
 
+def test_quality_rules_host_verdicts(spark):
+    """A large host of bad pages goes whole, with its good pages; a tiny bad host and clean hosts stay; a
+    null host is a host of its own."""
+    good = " ".join(f"word{i}" for i in range(60))
+    rows, bad = [], "buy now " * 60
+    rows += [(i, "bad", bad if i % 3 else good) for i in range(200)]
+    rows += [(1000 + i, f"clean{i % 4}", good if i % 50 else bad) for i in range(800)]
+    rows += [(3000, "tiny", bad), (3001, "tiny", good)] + [(4000 + i, None, good + " a|b $$ #c |% <>") for i in range(100)]
+    df = spark.createDataFrame([(*r, True, "x") for r in rows], "doc_id long, source string, text string, kept boolean, host string")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert {r.host for r in got.values() if r.host_rejected} == {"bad", None}
+    for d, host, text in rows:
+        assert got[d].base_failed == (text == bad) and got[d].kept == (host not in ("bad", None) and text != bad)
+
+
 def test_pipeline_against_its_operators(spark):
     import corpus_pipeline
 
