@@ -3,6 +3,12 @@
 Each stage takes what its predecessor kept and returns the columns of ``documents``, the last one
 the packed pieces. Between stages the rows are written as Parquet and read again, so that a lost
 executor costs at most a part of one stage.
+
+Defined cases: a null or empty text has no toxic words; equal texts, null counting as empty, leave the row with
+the largest doc_id; of near-duplicates the one with the least doc_id stays, and rows without a doc_id
+are nobody's near-duplicate; a document without words stands once in the mix, others as often as its words are
+taken, which may be never; very long texts are treated whole and packed in several pieces; repeated
+rows are copies; an empty table gives no pieces; further columns pass through all stages but the last, unread.
 """
 
 from __future__ import annotations
