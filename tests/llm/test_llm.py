@@ -620,10 +620,73 @@ def test_quality_rules_host_verdicts(spark):
         assert got[d].base_failed == (text == bad) and got[d].kept == (host not in ("bad", None) and text != bad)
 
 
-def test_pipeline_against_its_operators(spark):
+def _near_copies(texts):
+    """doc_ids that all pairs find to be near copies of a lesser one, transitively."""
+    sets, root = {d: _shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and len(x.keys() & y.keys()) / len(x.keys() | y.keys()) > 0.5:
+            number = {k: i for i, k in enumerate(sorted(x.keys() | y.keys()))}
+            at = lambda c: (np.array([number[k] for k in sorted(c)], np.uint64), np.array([c[k] for k in sorted(c)]))
+            if max(minhash.similarity(*at(x), *at(y))) >= 0.8:
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    return {d for d in texts if find(d) != d}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on what its predecessor kept, recomputed without Spark."""
+    import corpus_pipeline
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    table = input_table(spark, SF, "documents")
+    model = toxicity.fit(table, input_table(spark, SF, "labels"))
+    docs = {r.doc_id: r for r in table.collect()}
+    docs = {d: r for d, r in docs.items() if model.score(r.text) < toxicity.THRESHOLD}
+    last = {}
+    for d in sorted(docs):
+        last[docs[d].text or ""] = d
+    docs = {d: docs[d] for d in last.values()}
+    near = _near_copies({d: r.text for d, r in docs.items()})
+    docs = {d: r for d, r in docs.items() if d not in near}
+    con = duckdb.connect()
+    rows = [tuple(r) for r in docs.values()]
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [tuple(dict(zip(table.columns, r))[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in rows])
+    taken = con.execute(f"SELECT doc_id, size, taken FROM ({queries.OP2_SQL})").fetchall()
+    copies = {d: 1 if n == 0 else int(t / n + 0.5) for d, n, t in taken}
+    tok = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    want = Counter()
+    for d, n in copies.items():
+        ids = tok.encode(docs[d].text or "", add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), 2048):
+            part = np.array(ids[k : k + 2048], "<u4").tobytes()
+            want[d, k // 2048, k, len(part) // 4, zlib.crc32(part)] += n
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == +want
+    fills = Counter()
+    for r in got:
+        fills[r.sequence_id] += r.length
+    assert max(fills.values()) <= 2048 and len(fills) <= 1.05 * -(-sum(fills.values()) // 2048) + 1
+
+
+def test_pipeline_odd(spark, odd, none, labels, tmp_path):
     import corpus_pipeline
 
-    docs = input_table(spark, SF, "documents")
-    kept = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_copies(spark, corpus_pipeline.drop_toxic(spark, docs, SF), SF), SF)
-    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    for name, docs in (("odd", odd), ("none", none)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.where("false").write.parquet(str(tmp_path / name / "labels.parquet"))
+        table, at = input_table(spark, str(tmp_path / name), "documents"), str(tmp_path / name)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            table = stage(spark, table, at)
+            assert table.columns == docs.columns
+        left = {r.doc_id for r in corpus_pipeline.run(spark, at).collect()}
+        assert left <= {r[0] for r in ODD} and (bool(left) == (name == "odd"))
