@@ -6,15 +6,15 @@ arrives first. Two documents agree in a register with the probability Jaccard si
 weights. Arrivals are drawn in rounds for whole batches of documents, and a shingle drops out as
 soon as its last arrival is later than the first arrivals of all of the document's registers. The
 weights lie so close together that documents whose sets of shingles have a Jaccard similarity of 0.8
-have a probability Jaccard of 0.76 at least, however often a passage is repeated in one of them: one sketch
+have a probability Jaccard of 0.78 at least, however often a passage is repeated in one of them: one sketch
 finds pairs that are alike by either measure.
 
 Documents with equal shingle counts are one node from the start, so that copies make no pairs.
 Nodes that agree in all registers of a band meet in its bucket. There each is compared with the
 bucket's least and greatest node, which links most copies. Buckets whose nodes are still in
 several components are gone through in tiles of bounded size: every node outside the bucket's
-largest component is compared with every node of another component by their registers, and only
-pairs that look similar leave the tile. A link needs a similarity of 0.8 or more, computed from the
+largest component is compared with every node of another component by their registers, of which the
+nodes of such buckets get four times as many, and only pairs that look similar leave the tile. A link needs a similarity of 0.8 or more, computed from the
 two documents' shingles themselves: of the sets (Jaccard) or of the weights (probability Jaccard),
 whichever is greater.
 
@@ -39,15 +39,17 @@ from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: What a shingle's weight gains at most by being repeated in its document.
-RISE = 0.1
+RISE = 0.05
 #: Registers of 16 bits. The first 80 make 20 bands of 4: a pair misses all bands with a probability
-#: of 0.00003 at a probability Jaccard of 0.8, and of 0.0003 at 0.76.
+#: of 0.00003 at a probability Jaccard of 0.8, and of 0.0001 at 0.78.
 REGISTERS, BANDS, ROWS = 384, 20, 4
-#: Pairs that agree in less of the registers are not compared exactly. 384 registers agree in 0.65 or
-#: less with a probability below 1e-11 at similarity 0.8 (0.000001 at 0.76), in TILE_AGREEMENT or less with
-#: 0.000005 (0.005). The first holds for the pairs of a bucket's ends, which are few; the second for
-#: tiles, where a large group of documents with similarities of 0.6 to 0.7 would else fill the comparison.
-LEAST_AGREEMENT, TILE_AGREEMENT = 0.65, 0.705
+#: Pairs that agree in less of these registers are not compared exactly. At 0.78 that misses a pair with a
+#: probability below 1e-5.
+LEAST_AGREEMENT = 0.65
+#: Further registers, of 8 bits, for nodes that are compared in tiles, and the agreement in all registers
+#: that lets a pair out of its tile. At 0.8 that misses a pair with a probability of 1e-6, at 0.78 of 0.002; a large group of
+#: documents with similarities of 0.6 to 0.7 leaves next to no pairs.
+MORE_REGISTERS, TILE_AGREEMENT = 1152, 0.75
 #: Nodes on a side of a tile, about.
 TILE = 1024
 _U = np.uint64
@@ -58,7 +60,7 @@ def weights(counts: np.ndarray) -> np.ndarray:
     return 1.0 + RISE * (1.0 - 1.0 / counts)
 
 
-def registers(h: np.ndarray, rows: np.ndarray, weight: np.ndarray, n_rows: int, k: int) -> np.ndarray:
+def registers(h: np.ndarray, rows: np.ndarray, weight: np.ndarray, n_rows: int, k: int, seed: int = 0) -> np.ndarray:
     """ProbMinHash of every row: (n_rows, k) uint64, the winning shingle of each register.
 
     h, rows, weight: distinct shingles, in order of their rows.
@@ -66,7 +68,7 @@ def registers(h: np.ndarray, rows: np.ndarray, weight: np.ndarray, n_rows: int,
     first = np.full(n_rows * k, np.inf)
     winner = np.zeros(n_rows * k, _U)
     base = rows.astype(np.int64) * k
-    state, clock, w, home, own = h.copy(), np.zeros(len(h)), weight, base, h
+    state, clock, w, home, own = h ^ _U(seed), np.zeros(len(h)), weight, base, h
     while len(state):
         state = state + _STEP
         draw = sh.mix(state)
@@ -106,6 +108,22 @@ def _sketch(n: int, k: int):
     return run
 
 
+def _more_registers(n: int, k: int):
+    """The low bytes of k further registers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for row, ends, data in sh.chunks(batch.column("text")):
+                count = len(ends) - 1
+                h, rows, counts = sh.distinct(*sh.shingles(ends, data, n))
+                low = registers(h, rows, weights(counts), count, k, 0xA0761D6478BD642F).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([ids.slice(row, count), *map(pa.array, _content(h, rows, counts, count)), pa.array([x.tobytes() for x in low], pa.binary())], names=["node", "c1", "c2", "more"])
+        trim()
+
+    return run
+
+
 def _contents(n: int):
     """The shingles of documents and their counts, sorted by shingle."""
 
@@ -136,12 +154,13 @@ def _agree(k: int, least: float):
     return run
 
 
-def _tiles(k: int, bands: int, rows: int, least: float):
-    """Rows (key, i, j, side, band, part, node, registers) in order of (key, i, j): compares the nodes
-    of side 0 with those of side 1 that are in another part, unless the two have met in an earlier
-    band, and keeps the pairs that agree in enough registers."""
+def _tiles(k: int, more: int, bands: int, rows: int, first: float, least: float):
+    """Rows (key, i, j, side, band, part, node, registers, more) in order of (key, i, j): compares the
+    nodes of side 0 with those of side 1 that are in another part, unless the two have met in an
+    earlier band, and keeps the pairs that agree in enough registers: first of those that all nodes
+    have, then of all."""
 
-    def compare(band: int, side: np.ndarray, part: np.ndarray, node: np.ndarray, reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(band: int, side: np.ndarray, part: np.ndarray, node: np.ndarray, reg: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = [], []
         key = np.ascontiguousarray(reg[:, : bands * rows]).reshape(len(reg), bands, rows)
@@ -154,7 +173,10 @@ def _tiles(k: int, bands: int, rows: int, least: float):
             i, j = np.nonzero(fresh)
             for f in range(0, len(i), 1 << 14):
                 p, q = own[i[f : f + (1 << 14)]], y[j[f : f + (1 << 14)]]
-                like = (reg[p] == reg[q]).mean(axis=1) > least
+                same = (reg[p] == reg[q]).sum(axis=1)
+                like = same > first * k
+                p, q, same = p[like], q[like], same[like]
+                like = same + (low[p] == low[q]).sum(axis=1) > least * (k + more)
                 a.append(node[p[like]])
                 b.append(node[q[like]])
         none = np.empty(0, np.int64)
@@ -166,9 +188,10 @@ def _tiles(k: int, bands: int, rows: int, least: float):
         def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key, i, j, side, band, part, node = (t.column(c).to_numpy() for c in ("key", "i", "j", "side", "band", "part", "node"))
             reg = np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(-1, k)
+            low = np.frombuffer(b"".join(t.column("more").to_pylist()), np.uint8).reshape(-1, more)
             new = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
             cuts = np.flatnonzero(new) + 1
-            found = [compare(int(band[a]), side[a:b], part[a:b], node[a:b], reg[a:b]) for a, b in zip([0, *cuts], [*cuts, len(key)])]
+            found = [compare(int(band[a]), side[a:b], part[a:b], node[a:b], reg[a:b], low[a:b]) for a, b in zip([0, *cuts], [*cuts, len(key)])]
             a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -245,7 +268,7 @@ class NearDuplicates:
         self.k = max(REGISTERS, bands * rows)
 
     def sketches(self) -> tuple[DataFrame, DataFrame]:
-        """(doc_id, node) of all rows with an id, and (node, registers) of the nodes with shingles.
+        """(doc_id, node) of all rows with an id, and (node, c1, c2, registers) of the nodes with shingles.
         A node is the least doc_id of the documents with the same shingle counts. Registers are
         shuffled only where the groups of equal documents are too many for a broadcast."""
         schema = "doc_id long, shingles long, c1 long, c2 long, registers binary"
@@ -255,7 +278,7 @@ class NearDuplicates:
         known = every.join(small_side(many, 64), ["c1", "c2"], "left")
         filled = F.col("shingles") > 0
         member = known.select("doc_id", F.when(filled, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
-        nodes = known.where(filled & (F.col("first").isNull() | (F.col("first") == F.col("row")))).select(F.coalesce("node", "doc_id").alias("node"), "registers")
+        nodes = known.where(filled & (F.col("first").isNull() | (F.col("first") == F.col("row")))).select(F.coalesce("node", "doc_id").alias("node"), "c1", "c2", "registers")
         return member, cut(nodes, "nodes")
 
     def band_rows(self, nodes: DataFrame) -> DataFrame:
@@ -316,10 +339,15 @@ class NearDuplicates:
         spot = F.xxhash64("node")
         few = placed.where("part != major").select("key", "band", "part", "node", F.pmod(spot, "ni").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), F.lit(0).alias("side"))
         all_ = placed.select("key", "band", "part", "node", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), F.pmod(spot, "nj").cast("int").alias("j"), F.lit(1).alias("side"))
-        held = nodes.join(small_side(placed.select("node").distinct(), 16), "node", "left_semi")
-        rows = few.unionByName(all_).join(held, "node").select("key", "i", "j", "side", "band", "part", "node", "registers")
+        ids = small_side(placed.select("node").distinct(), 16)
+        own = self.docs.join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        more = own.mapInArrow(_more_registers(self.words, MORE_REGISTERS), "node long, c1 long, c2 long, more binary")
+        if self.shared_ids:
+            more = more.dropDuplicates(["node", "c1", "c2"])
+        held = nodes.join(ids, "node", "left_semi").join(more, ["node", "c1", "c2"]).drop("c1", "c2")
+        rows = few.unionByName(all_).join(held, "node").select("key", "i", "j", "side", "band", "part", "node", "registers", "more")
         rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return rows.mapInArrow(_tiles(self.k, self.bands, self.rows, TILE_AGREEMENT), "a long, b long").distinct()
+        return rows.mapInArrow(_tiles(self.k, MORE_REGISTERS, self.bands, self.rows, LEAST_AGREEMENT, TILE_AGREEMENT), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, **settings) -> DataFrame:

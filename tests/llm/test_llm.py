@@ -102,7 +102,7 @@ def test_minhash_links_sets_with_repeated_passages(spark):
 
 
 def test_minhash_finds_equal_sets_at_any_counts():
-    """However counts differ, sets with a Jaccard similarity of 0.8 have a probability Jaccard of 0.76."""
+    """However counts differ, sets with a Jaccard similarity of 0.8 have a probability Jaccard of 0.78."""
     rng, least = np.random.default_rng(2), 1.0
     for _ in range(300):
         ha, hb = np.arange(180, dtype=np.uint64), np.arange(20, 200, dtype=np.uint64)
@@ -110,7 +110,7 @@ def test_minhash_finds_equal_sets_at_any_counts():
         plain, weighted = minhash.similarity(ha, na, hb, nb)
         least = min(least, weighted)
         assert plain == pytest.approx(0.8)
-    assert 0.755 < least < 0.8
+    assert 0.775 < least < 0.8
 
 
 def test_minhash_links_a_passage_repeated_a_thousand_times(spark):
