@@ -114,7 +114,55 @@ def audit(
     add(capped(only_in(chunks, rows, "id")), "markdown_chunks_missing_from_index", "high", "Chunks of the pages are not in the table.", **shown)
     add(capped(only_in(rows, chunks, "id")), "stale_chunks_in_index", "high", "The table has chunks that no page makes.", **shown)
     if vector_rows is None and expected_vector_rows is not None:
-        add(one, "vector_table_unavailable", "warning", "The vector table can't be opened.")
+        add(one, "lancedb_table_unavailable", "warning", "The vector table can't be opened.")
     elif vector_rows is not None and expected_vector_rows is not None:
         add(counts_differ(expected_vector_rows, vector_rows), "vector_row_count_mismatch", "high", "The vector table has other rows than the chunks ask for.", **sides)
     return reduce(DataFrame.unionByName, found, spark.createDataFrame([], ISSUE))
+
+
+def summary(
+    issues: DataFrame, pages: DataFrame, chunks: DataFrame, manifest: DataFrame | None, manifest_files: DataFrame | None, indexed: DataFrame | None,
+    vector_rows: DataFrame | None = None, expected_vector_rows: DataFrame | None = None,
+) -> DataFrame:
+    """One row: ok, the number of issues, and what each side counts; 0 for a part that is missing,
+    null for missing vector rows."""
+    one = issues.agg((F.count(F.lit(1)) == 0).alias("ok"), F.count(F.lit(1)).alias("issue_count"))
+    for name, rows in (("markdown_pages", pages), ("markdown_chunks", chunks), ("manifest_file_entries", manifest_files), ("chunk_file_chunks", indexed), ("lancedb_rows", vector_rows)):
+        n = F.lit(None if name == "lancedb_rows" else 0).cast("long").alias(name)
+        one = one.withColumn(name, n) if rows is None else one.crossJoin(rows.agg(F.count(F.lit(1)).alias(name)))  # one row each
+    for name, source in (("manifest_pages", "pages_indexed"), ("manifest_chunks", "chunks_indexed")):
+        one = one.withColumn(name, F.lit(0).cast("long")) if manifest is None else one.crossJoin(manifest.select(F.coalesce(source, F.lit(0)).cast("long").alias(name)))
+    if expected_vector_rows is None:
+        return one.withColumn("expected_vector_rows", F.lit(None).cast("long"))
+    return one.crossJoin(expected_vector_rows.toDF("expected_vector_rows"))
+
+
+def file_issues(manifest_text: DataFrame | None, chunk_lines: DataFrame | None) -> DataFrame:
+    """Issues of an index kept as JSON files: manifest_text (one row, value) and chunk_lines (line,
+    value). What can't be parsed, is no object, or has fields of a wrong type is an issue each."""
+    found: list[DataFrame] = []
+    spark = (manifest_text if manifest_text is not None else chunk_lines).sparkSession
+    if manifest_text is not None:
+        v = F.try_parse_json("value")
+        rows = manifest_text.select("value", v.alias("v"), F.schema_of_variant(v).alias("shape"))
+        broken = rows.where(F.col("v").isNull() | ~F.col("shape").startswith("OBJECT"))
+        found.append(issue(broken, "manifest_invalid_json", "high", "The manifest is no JSON object."))
+        whole = rows.where(F.col("shape").startswith("OBJECT"))
+        kind = lambda f: F.schema_of_variant(F.try_variant_get("v", f"$.{f}", "variant"))
+        wrong = [("include_raw", ~kind("include_raw").isin("BOOLEAN")), ("files", ~kind("files").startswith("OBJECT"))]
+        wrong += [(f, ~(kind(f) == "BIGINT") & ~F.coalesce(F.try_variant_get("v", f"$.{f}", "string").rlike(r"^\s*[+-]?\d+\s*$"), F.lit(False))) for f in ("pages_indexed", "chunks_indexed")]
+        bad = whole.select(F.explode(F.array(*[F.when(kind(f).isNotNull() & c, F.lit(f)) for f, c in wrong])).alias("f")).where("f IS NOT NULL")
+        found.append(issue(bad, "manifest_invalid_schema", "high", "A field of the manifest has a wrong type.", field=F.col("f")))
+        files = whole.where(kind("files").startswith("OBJECT")).select(F.explode(F.from_json(F.to_json(F.try_variant_get("v", "$.files", "variant")), "map<string,string>")).alias("path", "entry"))
+        e = F.try_parse_json("entry")
+        number = lambda f: F.try_variant_get(e, f"$.{f}", "string").cast("string").rlike(r"^\s*[+-]?\d+(\.\d*)?([eE][+-]?\d+)?\s*$")
+        object_ = F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False))
+        odd = F.filter(F.array(*[F.when(~F.coalesce(number(f), F.lit(False)), F.lit(f)) for f in ("size", "chunks", "mtime")]), lambda x: x.isNotNull())
+        fields = files.select("path", F.when(object_, odd).alias("fields")).where("fields IS NULL OR size(fields) > 0")
+        found.append(issue(fields, "manifest_file_invalid_schema", "high", "A page's entry in the manifest is no object with numbers.", path=F.col("path"), fields=F.array_join("fields", ",")))
+    if chunk_lines is not None:
+        lines = json_lines(chunk_lines)
+        found.append(issue(lines.where("error IS NOT NULL"), "chunks_file_invalid_json", "high", "A line of the chunk file is no JSON object.", line=F.col("line"), error=F.col("error")))
+        wrong = lines.where("error IS NULL").withColumn("fields", bad_chunk_fields(F.col("value"))).where(F.size("fields") > 0)
+        found.append(issue(wrong, "chunks_file_invalid_schema", "high", "A row of the chunk file has fields of a wrong type.", line=F.col("line"), fields=F.array_join("fields", ",")))
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], ISSUE))

@@ -8,14 +8,6 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from ..functions import text as T
-
-
-def snapshot(files: DataFrame) -> DataFrame:
-    """files (path, text) with what the ledger keeps of a state."""
-    return files.select("path", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes"), F.when(F.col("text") == "", 0).otherwise(F.size(T.lines(F.col("text")))).cast("long").alias("line_count"), "text")
 
 
 def diff(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -74,13 +66,6 @@ def gate(summed: DataFrame, changes: int = 1, size: int = 1, lines: int = 1) ->
     return summed.withColumn("significant_change", (F.col("pending_events") > 0) & hit)
 
 
-def number(events: DataFrame, last_id: int, observed_at: float) -> DataFrame:
-    """events as rows of the log: ids follow the last one, changed pages first, then deleted ones.
-    An update is what one scan has found, and its ids are one sequence; hence the one order."""
-    order = Window.orderBy(F.col("kind") == "deleted", "path")
-    return events.withColumn("id", F.row_number().over(order).cast("long") + last_id).withColumn("observed_at", F.lit(float(observed_at)))
-
-
 def rollup(state: DataFrame, log: DataFrame, pending: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """One row per path of the state, the pending events and, for a dry run, the current pages: how
     often it changed, how last, and its size. The log is read once, not once a path."""

@@ -6,7 +6,6 @@ import json
 import os
 from collections.abc import Iterator
 from pathlib import Path
-from typing import Any
 
 import pandas as pd
 import pyarrow as pa
@@ -71,41 +70,13 @@ def scan_store(spark: SparkSession, root: str, include_raw: bool = False) -> Dat
     return kept.withColumn("dir_rank", rank.cast("int")).where("dir_rank >= 0")
 
 
-def _plain_yaml(raw: str) -> Any:
-    """The subset that front matter mostly is, where no YAML library is installed: scalars, flow
-    lists and block lists of scalars under top-level keys."""
-    out: dict[str, Any] = {}
-    key = None
-
-    def scalar(x: str) -> Any:
-        x = x.strip()
-        if x[:1] in ("'", '"') and x[-1:] == x[:1]:
-            return x[1:-1]
-        return {"": None, "null": None, "~": None, "true": True, "false": False}.get(x, x)
-
-    for line in raw.split("\n"):
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        if line.lstrip().startswith("- ") and key is not None:
-            out[key] = [*(out[key] or []), scalar(line.lstrip()[2:])]
-        elif ":" in line and not line.startswith((" ", "\t")):
-            key, _, value = line.partition(":")
-            key, value = key.strip(), value.strip()
-            inner = value[1:-1] if value.startswith("[") and value.endswith("]") else None
-            out[key] = scalar(value) if inner is None else [scalar(x) for x in inner.split(",") if x.strip()]
-    return out
-
-
 def _front_json(raw: str | None) -> str:
     """The front matter as a JSON object; anything but a mapping is an empty one."""
     if not raw or not raw.strip():
         return "{}"
-    try:
-        import yaml
+    import yaml
 
-        data = yaml.safe_load(raw)
-    except ImportError:
-        data = _plain_yaml(raw)
+    data = yaml.safe_load(raw)
     return json.dumps(data if isinstance(data, dict) else {}, default=str, ensure_ascii=False)
 
 
