@@ -75,8 +75,8 @@ def sections(body: Column, front_lines: Column) -> Column:
 
 
 def content_sets(sentences: Column) -> Column:
-    """The sets of content tokens of the sentences that have four or more."""
-    return F.filter(F.transform(sentences, lambda s: F.array_distinct(T.without_stopwords(T.tokens(s)))), lambda t: F.size(t) >= 4)
+    """The sets of content tokens, as hashes, of the sentences that have four or more."""
+    return F.filter(F.transform(sentences, lambda s: F.array_distinct(T.hashes(T.without_stopwords(T.tokens(s))))), lambda t: F.size(t) >= 4)
 
 
 def near_duplicate_ratio(sets: Column, window: int = 40, least: float = 0.82) -> Column:
@@ -102,13 +102,14 @@ def heading_repetition(secs: Column) -> Column:
 
 def top_phrases(rows: DataFrame, key: str, n: int = 5, top: int = 5) -> DataFrame:
     """(key, tokens) to the most frequent n-grams of each key, the earlier first among equals. What
-    is not repeated, or only stop words, leaves after the cut."""
-    grams = rows.select(key, F.posexplode(T.ngrams(F.col("tokens"), n)).alias("at", "phrase"))
-    counted = grams.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("first"))
+    is not repeated, or only stop words, leaves after the cut. Rows without a repeat send nothing, the
+    others hashes and places; the phrases of what is left are cut from the tokens."""
+    grams = rows.select(key, T.ngram_hashes(T.hashes(F.col("tokens")), n).alias("g")).where(F.size(F.array_distinct("g")) < F.size("g"))
+    counted = grams.select(key, F.posexplode("g").alias("at", "h")).groupBy(key, "h").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("first")).where("count > 1")
     order = Window.partitionBy(key).orderBy(F.desc("count"), "first")
     best = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    telling = F.size(T.without_stopwords(F.split("phrase", " "))) > 0
-    return best.where((F.col("count") > 1) & telling).select(key, "rank", "phrase", "count")
+    named = best.join(rows.select(key, "tokens"), key).withColumn("words", F.slice("tokens", F.col("first") + 1, n))
+    return named.where(F.size(T.without_stopwords(F.col("words"))) > 0).select(key, "rank", F.array_join("words", " ").alias("phrase"), "count")
 
 
 def computed(rows: DataFrame) -> DataFrame:
@@ -126,6 +127,7 @@ def metrics(pages: DataFrame, profile: Profile = Profile(), include_code: bool =
     rows = pages.withColumn("__prose", T.strip_noise(F.col("body") if include_code else T.strip_code(F.col("body"))))
     rows = rows.withColumn("tokens", T.tokens(F.col("__prose"))).withColumn("sentences", T.sentences(F.col("__prose")))
     rows = rows.withColumn("__content", T.without_stopwords(F.col("tokens"), digits=False)).withColumn("__lines", T.lines(F.col("body")))
+    rows = rows.withColumn("__h", T.hashes(F.col("tokens")))
     rows = rows.withColumn("__sl", F.filter(F.transform("sentences", lambda s: F.size(T.tokens(s))), lambda n: n > 0))
     rows = rows.withColumn("__sets", content_sets(F.col("sentences"))).withColumn("sections", sections(F.col("body"), F.col("frontmatter_lines")))
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
@@ -158,8 +160,8 @@ def metrics(pages: DataFrame, profile: Profile = Profile(), include_code: bool =
         "long_sentence_ratio": long / F.greatest(F.size(lengths), one),
         "avg_word_chars": chars / F.greatest(n, one),
         "ari_score": 4.71 * (chars / F.greatest(n, one)) + 0.5 * (n / F.greatest(F.size(lengths), one)) - 21.43,
-        "repeated_5gram_ratio": T.repeated_ratio(tokens, 5),
-        "repeated_8gram_ratio": T.repeated_ratio(tokens, 8),
+        "repeated_5gram_ratio": T.repeated_ratio(T.ngram_hashes(F.col("__h"), 5)),
+        "repeated_8gram_ratio": T.repeated_ratio(T.ngram_hashes(F.col("__h"), 8)),
         "near_duplicate_sentence_ratio": near_duplicate_ratio(F.col("__sets")),
         "heading_repetition_ratio": heading_repetition(F.col("sections")),
         "gzip_ratio": gzip_ratio(F.col("__prose")) if with_gzip else F.lit(None).cast("double"),
@@ -233,7 +235,7 @@ def section_results(measured: DataFrame, p: Profile = Profile(), include_code: b
     rows = rows.withColumn("tokens", T.tokens(T.strip_noise(F.col("__text")))).withColumn("__s", T.sentences(F.col("__text")))
     rows = rows.withColumn("__sl", F.filter(F.transform("__s", lambda x: F.size(T.tokens(x))), lambda n: n > 0)).withColumn("__c", T.without_stopwords(F.col("tokens"), digits=False))
     rows = rows.withColumn("average", F.aggregate("__sl", F.lit(0), lambda a, x: a + x) / F.greatest(F.size("__sl"), F.lit(1)))
-    rows = rows.withColumn("repeat", T.repeated_ratio(F.col("tokens"), 5)).withColumn("unique", F.size(F.array_distinct("__c")) / F.greatest(F.size("__c"), F.lit(1)))
+    rows = rows.withColumn("repeat", T.repeated_ratio(T.ngram_hashes(T.hashes(F.col("tokens")), 5))).withColumn("unique", F.size(F.array_distinct("__c")) / F.greatest(F.size("__c"), F.lit(1)))
     rows = rows.withColumn("links", F.regexp_count("__text", F.lit(T.WIKILINK)) + F.regexp_count("__text", F.lit(T.LINK)))
     m, n = F.col, F.col("line_count")
     spot = F.struct("start_line", "end_line", "heading")

@@ -39,7 +39,7 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repeated_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("tokens")
-    return _tokens(spark, sf_dir).select("doc_id", F.round(T.repeated_ratio(t, 5), 6).alias("repeated_5"), F.round(T.repeated_ratio(t, 8), 6).alias("repeated_8"))
+    return _tokens(spark, sf_dir).select("doc_id", *[F.round(T.repeated_ratio(T.ngram_hashes(T.hashes(t), n)), 6).alias(f"repeated_{n}") for n in (5, 8)])
 
 
 def top_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
