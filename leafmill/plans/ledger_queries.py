@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as A
 from ..operators import ledger as L
-from ..sources.tables import as_index, as_snapshots, table
+from ..sources.tables import as_index, as_snapshots, page_path, table
 from . import sql as Q
 
 
@@ -26,7 +26,9 @@ def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     previous, current = as_snapshots(table(spark, sf_dir, "documents"))
     events = L.diff(previous, current)
-    log = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("queries/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("doc_id").alias("id"), F.lit("added").alias("kind"), F.octet_length("text").cast("long").alias("byte_delta"), F.lit(1).cast("long").alias("line_delta"))
+    # every page has one, two or three events behind it
+    past = table(spark, sf_dir, "documents").select("doc_id", page_path().alias("path"), F.octet_length("text").cast("long").alias("n"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 3 + 1)).alias("k"))
+    log = past.select("path", (3 * F.col("doc_id") + F.col("k")).alias("id"), F.when(F.col("k") == 1, "added").otherwise("modified").alias("kind"), (F.col("n") * F.col("k")).alias("byte_delta"), (-F.col("k")).alias("line_delta"))
     rows = L.in_order(L.rollup(previous, log, events, current))
     return rows.select("path", "change_count", "last_change_kind", "size_bytes", "line_count", "pending", F.col("last_diff.byte_delta").alias("byte_delta"), F.col("last_diff.abs_line_delta").alias("abs_line_delta"))
 
@@ -110,11 +112,11 @@ _ISSUES = f"""{_IDX}, iss AS (
 
 SQL = {
     "snapshot_diff": f"WITH {_DIFF} SELECT * FROM ed",
-    "ledger_rollup": f"""WITH {_DIFF}, lg AS (SELECT 'queries/doc-' || doc_id || '.md' AS path, octet_length(encode(text)) AS byte_delta FROM documents WHERE doc_id % 3 = 0
+    "ledger_rollup": f"""WITH {_DIFF}, lg AS (SELECT {Q.PATH} AS path, doc_id % 3 + 1 AS k, octet_length(encode(text)) * (doc_id % 3 + 1) AS byte_delta FROM documents
 ), ps AS (SELECT path FROM o UNION SELECT path FROM ed UNION SELECT path FROM c
-) SELECT ps.path, (lg.path IS NOT NULL)::INT + (ed.path IS NOT NULL)::INT AS change_count, CASE WHEN ed.path IS NOT NULL THEN kind WHEN lg.path IS NOT NULL THEN 'added' END AS last_change_kind,
+) SELECT ps.path, coalesce(lg.k, 0) + (ed.path IS NOT NULL)::INT AS change_count, CASE WHEN ed.path IS NOT NULL THEN kind WHEN lg.k = 1 THEN 'added' WHEN lg.k > 1 THEN 'modified' END AS last_change_kind,
        CASE WHEN ed.path IS NOT NULL THEN new_size_bytes ELSE octet_length(encode(o.t)) END AS size_bytes, CASE WHEN ed.path IS NOT NULL THEN new_line_count ELSE {_LC.format(t='o.t')} END AS line_count,
-       ed.path IS NOT NULL AS pending, CASE WHEN ed.path IS NOT NULL THEN ed.byte_delta ELSE lg.byte_delta END AS byte_delta, CASE WHEN ed.path IS NOT NULL THEN abs(line_delta) WHEN lg.path IS NOT NULL THEN 1 END AS abs_line_delta
+       ed.path IS NOT NULL AS pending, CASE WHEN ed.path IS NOT NULL THEN ed.byte_delta ELSE lg.byte_delta END AS byte_delta, CASE WHEN ed.path IS NOT NULL THEN abs(line_delta) ELSE lg.k END AS abs_line_delta
 FROM ps LEFT JOIN ed ON ps.path = ed.path LEFT JOIN lg ON ps.path = lg.path LEFT JOIN o ON ps.path = o.path""",
     "change_gate": f"""WITH {_DIFF} SELECT count(*) AS pending_events, count_if(kind = 'added') AS added, count_if(kind = 'modified') AS modified, count_if(kind = 'deleted') AS deleted,
        sum(byte_delta)::BIGINT AS byte_delta, sum(line_delta)::BIGINT AS line_delta, sum(abs(byte_delta))::BIGINT AS abs_byte_delta, sum(abs(line_delta))::BIGINT AS abs_line_delta,
