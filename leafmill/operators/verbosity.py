@@ -7,15 +7,20 @@ so a page's reasons come out of the same projection as its metrics, without a jo
 from __future__ import annotations
 
 import gzip
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from ..functions import kernels
 from ..functions import text as T
+from ..sources.store import cut
 from .chunks import sections_of
 
 WEIGHTS = {
@@ -119,58 +124,54 @@ def computed(rows: DataFrame) -> DataFrame:
     return rows.select(packed).select("r.*")
 
 
+_DOUBLES = (
+    "avg_section_lines", "lines_per_heading", "bullet_line_ratio", "table_line_ratio", "code_line_ratio", "avg_sentence_words", "long_sentence_ratio", "avg_word_chars", "ari_score", "repeated_5gram_ratio",
+    "repeated_8gram_ratio", "near_duplicate_sentence_ratio", "heading_repetition_ratio", "gzip_ratio", "unique_token_ratio", "unique_content_word_ratio", "lexical_density", "stopword_ratio",
+)
+METRICS = (
+    "line_count", "body_line_count", "word_count", "char_count", "heading_count", "max_section_lines", "avg_section_lines", "lines_per_heading", "bullet_line_ratio", "table_line_ratio", "code_line_ratio",
+    "wikilink_count", "markdown_link_count", "sentence_count", "avg_sentence_words", "max_sentence_words", "long_sentence_count", "long_sentence_ratio", "avg_word_chars", "ari_score", "repeated_5gram_ratio",
+    "repeated_8gram_ratio", "near_duplicate_sentence_ratio", "heading_repetition_ratio", "gzip_ratio", "unique_token_ratio", "unique_content_word_ratio", "lexical_density", "stopword_ratio",
+)
+_SECTION = "heading string, level int, text string, start_line int, end_line int, line_count int"
+#: What a page without a text has; the rest is null.
+_NO_TEXT = {"avg_sentence_words": 0.0, "max_sentence_words": 0, "near_duplicate_sentence_ratio": 0.0, "heading_repetition_ratio": 0.0}
+#: Pages that become one batch of results.
+_SLICE = 256
+
+
 def metrics(pages: DataFrame, profile: Profile = Profile(), include_code: bool = False, with_gzip: bool = True) -> DataFrame:
     """pages (path, text, body, frontmatter_lines) with all metrics, and the sections.
 
-    gzip is the only metric that needs Python; without it the whole projection stays in the JVM.
+    One Arrow stage reads each page once; as it is no expression, nothing that comes after it, filters
+    and joins included, makes it run twice in a row.
     """
-    rows = pages.withColumn("__prose", T.strip_noise(F.col("body") if include_code else T.strip_code(F.col("body"))))
-    rows = rows.withColumn("tokens", T.tokens(F.col("__prose"))).withColumn("sentences", T.sentences(F.col("__prose")))
-    rows = rows.withColumn("__content", T.without_stopwords(F.col("tokens"), digits=False)).withColumn("__lines", T.lines(F.col("body")))
-    rows = rows.withColumn("__h", T.hashes(F.col("tokens")))
-    rows = rows.withColumn("__sl", F.filter(F.transform("sentences", lambda s: F.size(T.tokens(s))), lambda n: n > 0))
-    rows = rows.withColumn("__sets", content_sets(F.col("sentences"))).withColumn("sections", sections(F.col("body"), F.col("frontmatter_lines")))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    tokens, content, lengths, lines = F.col("tokens"), F.col("__content"), F.col("__sl"), F.col("__lines")
-    sizes = F.transform("sections", lambda s: s["line_count"])
-    n, chars = F.size(tokens), total(F.transform(tokens, F.length))
-    one = F.lit(1)
-    heads = F.size("sections")
-    long = F.size(F.filter(lengths, lambda x: x >= profile.long_sentence))
-    line_count = F.size(T.lines(F.col("text")))
-    table = lambda x: F.contains(x, F.lit("|")) | x.rlike(T.TABLE_RULE)
-    out = {
-        "line_count": line_count,
-        "body_line_count": F.size(lines),
-        "word_count": n,
-        "char_count": F.length("text"),
-        "heading_count": heads,
-        "max_section_lines": F.coalesce(F.array_max(sizes), F.when(F.size(lines) > 0, F.size(lines)).otherwise(line_count)),
-        "avg_section_lines": total(sizes) / F.greatest(heads, one),
-        "lines_per_heading": F.size(lines) / F.greatest(heads, one),
-        "bullet_line_ratio": T.line_share(lines, lambda x: x.rlike(T.BULLET)),
-        "table_line_ratio": T.line_share(lines, table),
-        "code_line_ratio": T.code_line_ratio(F.col("body")),
-        "wikilink_count": F.regexp_count("body", F.lit(T.WIKILINK)),
-        "markdown_link_count": F.regexp_count("body", F.lit(T.LINK)),
-        "sentence_count": F.size(lengths),
-        "avg_sentence_words": total(lengths) / F.greatest(F.size(lengths), one),
-        "max_sentence_words": F.coalesce(F.array_max(lengths), F.lit(0)),
-        "long_sentence_count": long,
-        "long_sentence_ratio": long / F.greatest(F.size(lengths), one),
-        "avg_word_chars": chars / F.greatest(n, one),
-        "ari_score": 4.71 * (chars / F.greatest(n, one)) + 0.5 * (n / F.greatest(F.size(lengths), one)) - 21.43,
-        "repeated_5gram_ratio": T.repeated_ratio(T.ngram_hashes(F.col("__h"), 5)),
-        "repeated_8gram_ratio": T.repeated_ratio(T.ngram_hashes(F.col("__h"), 8)),
-        "near_duplicate_sentence_ratio": near_duplicate_ratio(F.col("__sets")),
-        "heading_repetition_ratio": heading_repetition(F.col("sections")),
-        "gzip_ratio": gzip_ratio(F.col("__prose")) if with_gzip else F.lit(None).cast("double"),
-        "unique_token_ratio": F.size(F.array_distinct(tokens)) / F.greatest(n, one),
-        "unique_content_word_ratio": F.size(F.array_distinct(content)) / F.greatest(F.size(content), one),
-        "lexical_density": F.size(content) / F.greatest(n, one),
-        "stopword_ratio": (n - F.size(T.without_stopwords(tokens))) / F.greatest(n, one),
-    }
-    return rows.select("path", *[c.alias(k) for k, c in out.items()], "sections", "tokens")
+    kinds = ", ".join(f"{m} {'double' if m in _DOUBLES else 'int'}" for m in METRICS)
+    # a body that is the whole text crosses once
+    rows = pages.select("path", F.when(F.col("text") != F.col("body"), F.col("text")).alias("text"), "body", "frontmatter_lines")
+    schema = rows.sparkSession.range(0).select(F.lit(None).cast(rows.schema["path"].dataType).alias("path"), F.lit(None).cast(f"struct<{', '.join(x.replace(' ', ':', 1) for x in kinds.split(', '))}>").alias("m"), F.lit(None).cast(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in _SECTION.split(', '))}>>").alias("sections"))
+    schema = schema.select("path", "m.*", "sections").schema
+    long, arrow = profile.long_sentence, to_arrow_schema(schema)
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns: dict[str, list] = {m: [] for m in METRICS}
+        secs = []
+        for text, body, front in zip(*(batch.column(c).to_pylist() for c in ("text", "body", "frontmatter_lines"))):
+            found, own, prose = (_NO_TEXT, None, "") if body is None else kernels.metrics(body if text is None else text, body, front, long, include_code)
+            for m, c in columns.items():
+                c.append(found.get(m))
+            if with_gzip:
+                raw = prose.encode()
+                columns["gzip_ratio"][-1] = len(gzip.compress(raw, mtime=0)) / len(raw) if raw else 1.0
+            secs.append(own)
+        return pa.RecordBatch.from_arrays([batch.column("path"), *[pa.array(columns[m], arrow.field(m).type) for m in METRICS], pa.array(secs, arrow.field("sections").type)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, _SLICE):
+                yield measure(b.slice(at, _SLICE))
+
+    return rows.mapInArrow(run, schema)
 
 
 THREE_PLACES = ("avg_section_lines", "lines_per_heading", "avg_sentence_words", "avg_word_chars", "ari_score")
@@ -320,11 +321,12 @@ def percentiles(judged: DataFrame) -> DataFrame:
 
 
 def audit(judged: DataFrame, limit: int = 20, severity: str | None = None) -> DataFrame:
-    """The most verbose pages of one severity, or of all, with percentiles among them."""
+    """The most verbose pages of one severity, or of all, with percentiles among them. The judged rows
+    are written once, since percentiles read them several times: select what you need of them before."""
     if severity is not None and severity not in ("ok", "warning", "high"):
         raise ValueError("severity must be one of: ok, warning, high")
     rows = judged if severity is None else judged.where(F.col("severity") == severity)
-    return percentiles(rows).orderBy(F.desc("score"), F.desc("line_count"), "path").limit(limit)
+    return percentiles(cut(rows, "audit")).orderBy(F.desc("score"), F.desc("line_count"), "path").limit(limit)
 
 
 def compare(pairs: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def section_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verbosity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.audit(_judged(spark, sf_dir), 20, "warning")
+    rows = V.audit(_judged(spark, sf_dir).select("path", "severity", "score", *V.PERCENTILES), 20, "warning")
     return rows.select("path", "score", "line_count", *[f"{m}_percentile" for m in V.PERCENTILES])
 
 

@@ -29,6 +29,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/leafmill/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to a scratch table and read from it: for what is used more than once."""
+    at = scratch(rows.sparkSession, name)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
