@@ -39,6 +39,13 @@ def test_kernels_say_what_columns_say(odd):
         assert K.near_duplicate_ratio([s for s in (set(K.tokens(x)) - K.STOP for x in r.sentences) if len(s) >= 4]) == r.near
 
 
+def test_page_metrics_reads_a_page_once(spark):
+    text = plan(catalog.QUERIES["page_metrics"](spark, SF))
+    assert text.count("MapInArrow") == 1 and "lambda" not in text
+    none = V.metrics(spark.createDataFrame([("a", None, None, 0)], "path string, text string, body string, frontmatter_lines int")).first()
+    assert none.line_count is None and none.max_sentence_words == 0 and none.repeated_5gram_ratio is None and none.avg_sentence_words == 0  # as SQL has it
+
+
 def test_verbosity_audit_measures_a_page_once(spark):
     text = plan(catalog.QUERIES["verbosity_audit"](spark, SF))
     assert "regexp_extract_all" not in text and "MapInArrow" not in text  # it reads the judged rows that were written
