@@ -49,3 +49,9 @@ def test_page_metrics_reads_a_page_once(spark):
 def test_verbosity_audit_measures_a_page_once(spark):
     text = plan(catalog.QUERIES["verbosity_audit"](spark, SF))
     assert "regexp_extract_all" not in text and "MapInArrow" not in text  # it reads the judged rows that were written
+
+
+@pytest.mark.parametrize("name", ["verbosity_rules", "verbosity_full"])
+def test_rules_measure_a_page_once(spark, name):
+    text = plan(catalog.QUERIES[name](spark, SF))
+    assert text.count("MapInArrow") == 1 and "regexp_extract_all" not in text
