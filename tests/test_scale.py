@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import kernels as K
 from leafmill.functions import text as T
-from leafmill.operators import semantic
+from leafmill.operators import sections, semantic
 from leafmill.operators import verbosity as V
 from leafmill.plans import catalog
 
@@ -76,3 +76,18 @@ def test_semantic_structure_in_tiles(spark, monkeypatch):
         x = got[p]
         assert (x.section_count, x.adjacent_pairs, x.pairwise_pairs) == (len(vs), len(near), len(most))
         assert (x.coherence_score, x.semantic_redundancy_score) == ((pytest.approx(np.mean(near), abs=1e-6), pytest.approx(max(most), abs=1e-6)) if most else (None, None))
+
+
+@pytest.mark.parametrize("name", ["section_spans", "section_replace"])
+def test_sections_fold_no_page(spark, name):
+    text = plan(catalog.QUERIES[name](spark, SF))
+    assert text.count("MapInArrow") == 1 and "array_append" not in text
+
+
+def test_sections_of_a_long_page(spark):
+    """Time in proportion to the sections; the fence of four holds one of three."""
+    n = 20_000
+    body = "# Top\n````\n## no\n```\n````\n" + "\n".join(f"## S{i % 7} ##\ntext\n" for i in range(n))
+    rows = sections.spans(spark.createDataFrame([("a", body), ("b", None), ("c", "---\n# x\n---\n### y")], "path string, text string")).collect()
+    assert len(rows) == n + 2 and tuple(rows[0]) == ("a", "Top", 1, 1, len(body.splitlines()), 1) and tuple(rows[8]) == ("a", "S0", 2, 27, 29, 2)
+    assert tuple(rows[-1]) == ("c", "y", 3, 4, 4, 1)
