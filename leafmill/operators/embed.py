@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from ..functions.kernels import tokens
 from ..functions.text import py_tokens
 
 #: (texts) -> one vector each
@@ -40,23 +41,55 @@ def features(text: str) -> Iterator[str]:
     yield from (f"bi:{a} {b}" for a, b in zip(toks, toks[1:]))
 
 
-def hash_encoder(dimensions: int) -> Encode:
-    """Signed feature hashing: bits of a BLAKE2b digest choose the place and the sign."""
-    seen: dict[str, int] = {}
+#: Features of a kind whose digests a worker keeps; then it begins anew.
+KEPT = 100_000
+
+
+class _Digests(dict):
+    """The digests of features of one kind, made when they are asked for first. ``start`` has the
+    kind's prefix and the digest's parameters already, which copying is quicker than giving them again."""
+
+    def __init__(self, prefix: bytes) -> None:
+        self.start = hashlib.blake2b(prefix, digest_size=8)
+
+    def digest(self, f: str) -> bytes:
+        h = self.start.copy()
+        h.update(f.encode())
+        return h.digest()
+
+    def __missing__(self, f: str) -> bytes:
+        if len(self) >= KEPT:
+            self.clear()
+        made = self[f] = self.digest(f)
+        return made
+
 
-    def place(f: str) -> int:
-        if f not in seen:
-            if len(seen) > 500_000:
-                seen.clear()
-            v = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little")
-            seen[f] = 2 * (v % dimensions) + (v >> 8 & 1)
-        return seen[f]
+class _Tokens(_Digests):
+    """A token's digest and those of its trigrams."""
+
+    def __init__(self) -> None:
+        super().__init__(b"tok:")
+        self.trigrams = _Digests(b"tri:")
+
+    def digest(self, f: str) -> bytes:
+        edge = f"<{f}>"
+        return super().digest(f) + b"".join([self.trigrams[edge[i : i + 3]] for i in range(len(edge) - 2)])
+
+
+def hash_encoder(dimensions: int) -> Encode:
+    """Signed feature hashing over ``features``: bits of a BLAKE2b digest choose the place and the sign."""
+    of_token, of_pair = _Tokens(), _Digests(b"bi:")
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimensions))
         for row, t in zip(out, texts):
-            codes = np.fromiter(map(place, features(t)), np.int64)
-            np.add.at(row, codes >> 1, (codes & 1) * 2.0 - 1.0)
+            toks = tokens(t)
+            found = [of_token[x] for x in toks]
+            found += [of_pair[f"{a} {b}"] for a, b in zip(toks, toks[1:])]
+            v = np.frombuffer(b"".join(found), "<u8")
+            codes = (2 * (v % np.uint64(dimensions)) + (v >> np.uint64(8) & np.uint64(1))).astype(np.int64)
+            counts = np.bincount(codes, minlength=2 * dimensions)
+            row += counts[1::2] - counts[::2]
             length = np.sqrt((row * row).sum())
             if length:
                 row /= length
@@ -89,6 +122,9 @@ def batched(encode_batch: Encode, batch: int) -> Encode:
     return encode
 
 
+#: Texts that are encoded at a time.
+_SLICE = 512
+
 _REGISTRY: dict[str, Callable[..., Embedder]] = {}
 _ALIASES = {"hash": "hashing-ngram", "hashing": "hashing-ngram", "ngram": "hashing-ngram", "default": "hashing-ngram"}
 
@@ -112,10 +148,15 @@ def embed(embedder: Embedder, text: Column) -> Column:
     """The vector of each text; a worker loads the encoder once for a stream of batches."""
     load = embedder.load
 
-    @F.pandas_udf(ArrayType(FloatType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = load()
         for s in batches:
-            yield pd.Series(list(encode([t or "" for t in s]).astype("float32")))
+            parts = [pa.array([], pa.list_(pa.float32()))]
+            for at in range(0, len(s), _SLICE):  # neither texts nor vectors of a whole batch stand in Python
+                found = encode([t or "" for t in s.slice(at, _SLICE).to_pylist()]).astype("float32")
+                ends = np.arange(len(found) + 1, dtype="int32") * found.shape[1]
+                parts.append(pa.ListArray.from_arrays(ends, found.ravel()))
+            yield pa.concat_arrays(parts)
 
     return run(text)

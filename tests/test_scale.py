@@ -1,6 +1,7 @@
 """Queries whose work must grow no faster than their tables: how often a plan does its costly step, and
 the kernels against the Column expressions that they stand for."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import kernels as K
 from leafmill.functions import text as T
-from leafmill.operators import sections, semantic
+from leafmill.operators import embed, sections, semantic
 from leafmill.operators import verbosity as V
 from leafmill.plans import catalog
 
@@ -91,3 +92,19 @@ def test_sections_of_a_long_page(spark):
     rows = sections.spans(spark.createDataFrame([("a", body), ("b", None), ("c", "---\n# x\n---\n### y")], "path string, text string")).collect()
     assert len(rows) == n + 2 and tuple(rows[0]) == ("a", "Top", 1, 1, len(body.splitlines()), 1) and tuple(rows[8]) == ("a", "S0", 2, 27, 29, 2)
     assert tuple(rows[-1]) == ("c", "y", 3, 4, 4, 1)
+
+
+def test_hash_encoder_keeps_little(monkeypatch):
+    """As many digests as are allowed, whatever the texts, and the same vectors as its features give."""
+    monkeypatch.setattr(embed, "KEPT", 50)
+    encode = embed.hash_encoder(64)
+    texts = [" ".join(f"w{i * 7919 % 1000} Kx{j}" for j in range(20)) for i in range(60)] + ["", "one"]
+    got = encode(texts)
+    for row, t in zip(got, texts):
+        want = np.zeros(64)
+        for f in embed.features(t):
+            v = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little")
+            want[v % 64] += 1.0 if v >> 8 & 1 else -1.0
+        assert np.allclose(row, want / (np.linalg.norm(want) or 1.0))
+    kept = dict(zip(encode.__code__.co_freevars, (c.cell_contents for c in encode.__closure__)))
+    assert 0 < len(kept["of_token"]) <= 50 and 0 < len(kept["of_pair"]) <= 50 and len(kept["of_token"].trigrams) <= 50
