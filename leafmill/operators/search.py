@@ -1,8 +1,9 @@
 """Lexical, dense and hybrid search over chunk rows, and its explanation.
 
 A chunk row has at least: id, path, title, heading, type, tags, confidence, text, is_raw,
-start_line, end_line. Statistics are one row and ride along as a broadcast; a query's terms are
-literals, so that a chunk is scored where it is read, without a shuffle.
+start_line, end_line. A query's chunks are tokenised once, and what it needs of them is
+written: lengths, counts of its terms, the phrase. Statistics are one row and ride along as a
+broadcast, so that a chunk is scored where it is read, without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..functions.kernels import count_terms
+from ..sources.store import cut
 
 BM25_WEIGHT, VECTOR_WEIGHT = 0.35, 0.65
 K1, B = 1.5, 0.75
@@ -33,15 +36,18 @@ def admit(chunks: DataFrame, include_raw: bool = False, types: list[str] | None
 def _counted(chunks: DataFrame, terms: list[str], query: str) -> DataFrame:
     """id with its length in tokens, how often it has each term, and whether it has the phrase."""
     body = T.searchable(F.col("title"), F.col("heading"), F.col("tags"), F.col("text"))
-    rows = chunks.select("id", body.alias("__body")).select("id", T.tokens(F.col("__body")).alias("__t"), F.contains(F.lower("__body"), F.lit(query.lower())).alias("phrase"))
-    return rows.select("id", F.size("__t").alias("dl"), F.array(*[T.term_count(F.col("__t"), t) for t in terms]).alias("tf"), "phrase")
+    rows = chunks.select("id", body.alias("__body")).select("id", "__body", F.contains(F.lower("__body"), F.lit(query.lower())).alias("phrase"))
+    return count_terms(rows, "__body", terms)
 
 
 def corpus_stats(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """One row: n, avgdl and df, the number of chunks with each term."""
-    rows = _counted(chunks, terms, "")
+    return _stats(_counted(chunks, terms, ""), terms)
+
+
+def _stats(counted: DataFrame, terms: list[str]) -> DataFrame:
     df = F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(terms))])
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), df.alias("df"))
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), df.alias("df"))
 
 
 def _term_score(i: int) -> Column:
@@ -52,7 +58,9 @@ def _term_score(i: int) -> Column:
 
 
 def _with_stats(chunks: DataFrame, terms: list[str], query: str) -> DataFrame:
-    return _counted(chunks, terms, query).crossJoin(F.broadcast(corpus_stats(chunks, terms)))  # one row
+    # written, as a score needs the statistics first, and callers read scores more than once
+    counted = cut(_counted(chunks, terms, query), "counted")
+    return counted.crossJoin(F.broadcast(_stats(counted, terms)))  # one row
 
 
 def bm25(chunks: DataFrame, query: str) -> DataFrame:
@@ -109,22 +117,23 @@ def fuse(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, query: str, li
     each, a missing side counts 0; phrases and pages outside raw get a bonus. hit_rows: rows for ids
     that are no chunks (locators), which win over chunks of the same id."""
     scored = min_max(lexical, "bm25", "__b").join(min_max(dense, "vector", "__v"), "id", "full_outer").na.fill(0.0, ["bm25", "__b", "vector", "__v"])
-    columns = ["id", "path", "title", "heading", "type", "tags", "confidence", "text", "is_raw", "start_line", "end_line"]
+    body = T.searchable(F.col("title"), F.col("heading"), F.col("tags"), F.col("text"))
+    phrase = F.when(F.contains(F.lower(body), F.lit(query.lower())), PHRASE_BONUS).otherwise(0.0)
+    # what a result shows of the text is taken before the join, which then shuffles no texts
+    columns = ["id", "path", "title", "heading", "type", "tags", "confidence", "is_raw", "start_line", "end_line", phrase.alias("__phrase"), T.snippet(F.col("text"), T.py_tokens(query)).alias("snippet")]
     rows = chunks.select(*columns)
     if hit_rows is not None:
         own = hit_rows.select(*columns)
         rows = own.unionByName(rows.join(own.select("id"), "id", "left_anti"))
     found = scored.join(rows, "id")
-    body = T.searchable(F.col("title"), F.col("heading"), F.col("tags"), F.col("text"))
-    phrase = F.when(F.contains(F.lower(body), F.lit(query.lower())), PHRASE_BONUS).otherwise(0.0)
     page = F.when(F.coalesce(F.col("is_raw"), F.lit(False)), 0.0).otherwise(PAGE_BONUS)
-    score = BM25_WEIGHT * F.col("__b") + VECTOR_WEIGHT * F.col("__v") + phrase + page
+    score = BM25_WEIGHT * F.col("__b") + VECTOR_WEIGHT * F.col("__v") + F.col("__phrase") + page
     best = found.withColumn("__s", score).where("__s > 0").withColumn("score", F.round("__s", 6))
     best = best.orderBy(F.desc("score"), "path", "start_line", "id").limit(limit)
     blank = lambda c, other: F.coalesce(F.when(F.col(c) != "", F.col(c)), other)
     return best.select(
         "id", "path", blank("title", F.col("path")).alias("title"), F.coalesce("heading", F.lit("")).alias("heading"), "score",
-        blank("type", F.lit("page")).alias("type"), "tags", "confidence", T.snippet(F.col("text"), T.py_tokens(query)).alias("snippet"),
+        blank("type", F.lit("page")).alias("type"), "tags", "confidence", "snippet",
         F.round("bm25", 6).alias("bm25_score"), F.round("vector", 6).alias("vector_score"), "start_line", "end_line",
         T.read_hint(F.col("path"), F.col("heading"), F.col("start_line"), F.col("end_line")).alias("read_hint"),
     )

@@ -108,3 +108,10 @@ def test_hash_encoder_keeps_little(monkeypatch):
         assert np.allclose(row, want / (np.linalg.norm(want) or 1.0))
     kept = dict(zip(encode.__code__.co_freevars, (c.cell_contents for c in encode.__closure__)))
     assert 0 < len(kept["of_token"]) <= 50 and 0 < len(kept["of_pair"]) <= 50 and len(kept["of_token"].trigrams) <= 50
+
+
+@pytest.mark.parametrize("name", ["score_normalize", "candidate_counts", "bm25_indexed", "search_indexed", "index_status", "search_explain"])
+def test_search_tokenises_at_most_once(spark, name):
+    """Texts are tokenised before the plan begins, once for a query; the plan reads counts."""
+    text = plan(catalog.QUERIES[name](spark, SF))
+    assert "regexp_extract_all" not in text and "MapInArrow" not in text
