@@ -3,6 +3,8 @@ the kernels against the Column expressions that they stand for."""
 
 import hashlib
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -54,6 +56,28 @@ def test_verbosity_audit_measures_a_page_once(spark):
     assert "regexp_extract_all" not in text and "MapInArrow" not in text  # it reads the judged rows that were written
 
 
+def test_long_runs_take_no_longer_than_prose():
+    """Pages of 30,000 characters in which a pattern could read what follows again from each place."""
+    n = 30_000
+    odd = ["a" + "\n" * n + "x", "\r" * n + "x", "\x85" + " \n" * (n // 2) + "x", "# a" + " " * n + "x", " " * n + "-", "[" * n, "[[a" * (n // 3), "[a](" * (n // 4), "![" * (n // 2), "[[" * (n // 2) + "|]]",
+           "# " + " ".join(f"w{i}" for i in range(n // 6))]
+    for page in odd:
+        began = time.process_time()
+        K.metrics(page, page, 0, 30, False)
+        assert time.process_time() - began < 0.5, page[:9]
+
+
+def test_links_are_those_of_the_patterns():
+    r = random.Random(5)
+    marks = (("![", 0, False, 1), ("[[", 1, True, 2), ("[", 1, False, 3))
+    for _ in range(20_000):
+        page = "".join(r.choice("[[]](()!|a\n") for _ in range(r.choice([4, 12, 40])))
+        for mark, least, named, rule in marks:
+            found = [(m.start(), m[1] if rule > 1 else None, m.end()) for m in re.finditer(T.NOISE[rule][0], page)]
+            assert [(a, page[b:c] if rule > 1 else None, d) for a, b, c, d in K.brackets(page, mark, least, named)] == found, page
+        assert [page[a:d] for a, _, _, d in K.brackets(page, "[[")] == re.findall(T.WIKILINK, page) and [page[a:d] for a, _, _, d in K.brackets(page, "[")] == re.findall(T.LINK, page)
+
+
 @pytest.mark.parametrize("name", ["verbosity_rules", "verbosity_full"])
 def test_rules_measure_a_page_once(spark, name):
     text = plan(catalog.QUERIES[name](spark, SF))
