@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import kernels as K
 from leafmill.functions import text as T
-from leafmill.operators import embed, sections, semantic
+from leafmill.operators import embed, search, sections, semantic
 from leafmill.operators import verbosity as V
 from leafmill.plans import catalog
 
@@ -139,3 +139,18 @@ def test_search_tokenises_at_most_once(spark, name):
     """Texts are tokenised before the plan begins, once for a query; the plan reads counts."""
     text = plan(catalog.QUERIES[name](spark, SF))
     assert "regexp_extract_all" not in text and "MapInArrow" not in text
+
+
+def test_scaled_scores_read_a_text_once(spark):
+    """However often statistics, scores and their ends are asked for."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(str(i), f"c/{i}.md", f"P {i}", "H", "concept", ["en"], None, "the of " * (i % 4) + "x y z", i % 5 == 4, 1, 1) for i in range(40)]
+    schema = "id string, path string, title string, heading string, type string, tags array<string>, confidence string, text string, is_raw boolean, start_line int, end_line int"
+    chunks = spark.createDataFrame(rows, schema).repartition(3).withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))
+    got = search.min_max(search.bm25(chunks, "of the of"), "bm25", "scaled").collect()
+    assert read.value == 40 and len(got) == 30 and {min(x.scaled for x in got), max(x.scaled for x in got)} == {0.0, 1.0}
